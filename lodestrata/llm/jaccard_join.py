@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, connected, join_groups, only_marked, slot_of, slots_for, staged, table
@@ -24,11 +24,19 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _words = re.compile(WORD).findall
 
 
+class _Hashes(dict):
+    """Word -> 64-bit hash, filled on demand."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Whole text -> sorted distinct 64-bit hashes of its n-word shingles."""
 
     def __init__(self, n: int):
-        self.n, self.memo = n, {}
+        self.n, self.memo = n, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = _words(text.translate(LOWER)) if text else []
@@ -37,8 +45,6 @@ class Shingler:
         memo = self.memo
         if len(memo) > 500_000:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))
         out = np.full(len(h) - n + 1, n, np.uint64)
@@ -62,6 +68,11 @@ def least_shared(n: int, percent: int) -> int:
     return int(EXTRA * least_overlap(n, percent)) + 1
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)])))
+
+
 def linked(overlap, n, m, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -180,7 +191,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
                     if len(own) > 1:
                         yield ended()
                     key, own = (c[k], p[k]), []
-                own.append((i[k], l[k], e[k], np.frombuffer(grams[k].as_buffer(), np.uint64)))
+                own.append((i[k], l[k], e[k], grams[k].values.to_numpy().view(np.uint64)))
         if len(own) > 1:
             yield ended()
 
@@ -197,7 +208,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     1. Equal sets become one representative; the members only follow it.
     2. Representatives post the prefix of their hashes in the order of a fixed permutation. Linked sets share at least
        EXTRA of their size in the prefixes, so a document with fewer posted shingles that another posts is left out.
-    3. What is left is clustered by shared posted shingles; only connected clusters can hold links.
+    3. Those left post all their shingles. A document with fewer than percent of them shared links with nothing. The
+       others are clustered by their rarest shingles, as many as two linked sets can't avoid to share one of; only
+       connected clusters can hold links.
     4. A cluster is searched in one task if it is small, else in blocks with common pivots, whose links give labels;
        then the documents outside a cluster's largest label are searched against every block. Every pair of different
        sets is thereby decided or already connected. DivideSkip finds the members that reach the required overlap.
@@ -218,11 +231,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
                     n.append(len(s))
                     a.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                     b.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                    posted.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                    posted.append(s[: prefix_length(len(s), percent)])
                 kind = pa.int64()
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in posted])]), pa.int32())
-                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *posted]), kind))
-                yield pa.record_batch([batch.column(0)[at : at + 256], pa.array(n, kind), pa.array(a, kind), pa.array(b, kind), arrays], ["doc_id", "n", "h1", "h2", "posted"])
+                yield pa.record_batch([batch.column(0)[at : at + 256], pa.array(n, kind), pa.array(a, kind), pa.array(b, kind), _lists(posted)], ["doc_id", "n", "h1", "h2", "posted"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut = staged(rows.mapInArrow(shingles, "doc_id long, n long, h1 long, h2 long, posted array<long>"))
@@ -235,28 +246,35 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     slot = slot_of(F.col("gram"), slots).alias("slot")
     posts = staged(only_marked(kept.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
     posts = staged(join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null"))
-    heads = staged(posts.groupBy("gram").agg(F.max("df").alias("df"), F.min("id").alias("head")))
-    near = join_groups(posts.drop("df"), heads, ["gram"], "df", posts.count())
     need = F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * percent / 100)) + 1
-    left = near.groupBy("id", "n").agg(F.count("*").alias("k"), F.collect_set("head").alias("heads")).where(F.col("k") >= need)
-    left = staged(left.select("id", "n", "heads"))
-    clusters = connected(left.select(F.col("id").alias("a"), F.explode("heads").alias("b")).distinct())
-    members = staged(left.select("id", "n").distinct().join(clusters.withColumnRenamed("node", "id"), "id").withColumnRenamed("label", "cluster"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(join_groups(members, staged(sizes), ["cluster"], "size", members.count()).where("size is not null"))
+    left = staged(posts.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("id").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(ngram)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                grams = [cut(t.as_py()).tobytes() for t in part.column(3)]
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(grams, pa.binary())], ["id", "cluster", "size", "grams"])
-
-    id_slot = slot_of(F.xxhash64("doc_id"), slots_for(members.count()))
-    some = only_marked(rows.withColumn("slot", id_slot), members.select(F.col("id").alias("doc_id")).select(id_slot.alias("slot"))).where("maybe")
-    chosen = some.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "cluster", "size", "text")
-    found = chosen.select("id", "cluster", "size", "text").mapInArrow(sets, "id long, cluster long, size long, grams binary").where(F.octet_length("grams") > 0)
+                yield pa.record_batch([part.column(0), _lists(grams := [cut(t.as_py()) for t in part.column(1)]), pa.array([len(g) for g in grams], pa.int64())], ["id", "grams", "n"])
+
+    id_slot = slot_of(F.xxhash64("id"), slots_for(left.count())).alias("slot")
+    some = only_marked(rows.withColumnRenamed("doc_id", "id").select("*", id_slot), left.select(id_slot)).where("maybe")
+    full = staged(some.join(left, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, grams array<long>, n long").where("n > 0"))
+    every = full.select("id", "n", F.explode("grams").alias("gram"))
+    shared = staged(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
+    slot = slot_of(F.col("gram"), slots_for(shared.count())).alias("slot")
+    posts = staged(only_marked(every.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
+    posts = staged(join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null"))
+    least = F.ceil(F.col("n") * percent / 100)
+    rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "gram"))
+    k = F.count("*").over(Window.partitionBy("id", "n"))
+    posts = posts.withColumn("k", k).withColumn("rank", rank).where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("id", "gram")
+    posts = staged(posts)
+    heads = staged(posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1"))
+    pairs = join_groups(posts, heads, ["gram"], "df", posts.count()).where("df is not null and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    members = connected(pairs).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    sizes = staged(members.groupBy("cluster").agg(F.count("*").alias("size")))
+    members = staged(join_groups(members, sizes, ["cluster"], "size", members.count()))
+    found = full.join(members, "id").select("id", "cluster", "size", "grams")
     found = staged(found.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("h", F.xxhash64(F.lit(1), "id")))
     part = F.pmod("h", F.col("parts")).cast("int")
     base = found.withColumn("label", F.col("id"))

@@ -43,9 +43,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those it never takes go."""
-    copies = staged(mix(docs).where("copies > 0").select("doc_id", "copies"))
-    return docs.join(copies, "doc_id").select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1L, copies)")).alias("copy_")).drop("copy_")
+    """Each document as often as the mix takes it; those it never takes go. Rows that share a doc_id (or have none) are all
+    taken as often as the most taken of them."""
+    copies = staged(mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0"))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1L, copies)")).alias("copy_")).drop("copy_")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

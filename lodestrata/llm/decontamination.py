@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORDS = re.compile(r"[^\W_]+")
-NGRAM, WINDOW = 3, 5
+NGRAM, WINDOW = 3, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of a full match of the item, and least number of matched words' worth of score.
 LEAST_SHARE, LEAST_WORDS = 0.5, 6

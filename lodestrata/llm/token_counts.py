@@ -47,7 +47,7 @@ def splits_at_spaces(processor) -> bool:
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    A text, with the space that the library puts in front, is cut before every run of spaces that follows another
+    A text, with the space that the library puts in front and its word mark read as a space, is cut before every run of spaces that follows another
     character and around line feeds. No piece of the vocabulary crosses those places (checked when a task starts; if
     one does, whole texts are encoded), so a text's count is the sum over its distinct pre-tokens of frequency times
     pieces. Frequencies and piece counts meet inside the task, against a bounded memo: a global join would shuffle a
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
                 if plain or not t:
                     n_tokens.append(len(processor.encode(t)) if t else 0)
                     continue
-                n_tokens.append(sum(map(int.__mul__, map(counts.__getitem__, freq := Counter(cut(" " + t))), freq.values())))
+                n_tokens.append(sum(map(int.__mul__, map(counts.__getitem__, freq := Counter(cut(" " + t.replace("▁", " ")))), freq.values())))
                 if len(counts) > MEMO_ENTRIES:
                     counts.clear()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -14,7 +14,8 @@ from ..operators.incidents import allowed
 
 def event_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame:
     one = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(one).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = spark.readStream.schema(spark.read.parquet(one).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 days") -> DataFrame:

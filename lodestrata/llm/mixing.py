@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table, unit
+from .common import WORD, join_groups, staged, table, unit
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Offsets that a source tries.
@@ -42,7 +42,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     One offset in [0, 1) for each source is added and a copy is emitted for each integer crossed, so copies are the
     rate rounded down or up. The offset is random, up to a rotation: of OFFSETS equal rotations the one whose words come nearest the target is taken,
     since a source of few documents may else miss it by the size of its largest ones. Bins (some 65,536 in all, of 256 rows at least) are ranked separately and moved by the
-    counts of the bins before, so a hot source is never sorted in one task.
+    counts of the bins before, so a hot source is never sorted in one task. What belongs to a source is
+    joined by broadcast for the under HOT_SHARE sources that are large, and by a shuffle for the small ones.
 
     Null text: size 0. Null source: a source of its own, last in order. Sources with no words have target 0 and no copies.
     Repeated rows and ties stand beside each other in the order and are sampled as separate rows. Reruns agree. Further
@@ -53,7 +54,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     stats = rows.groupBy("nosrc", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per_bin = F.greatest(F.lit(256), F.ceil(F.sum("n").over(Window.partitionBy()) / 65536)).cast("long")
     plan = staged(plan_targets(stats, weights, share, most).withColumn("bins", F.ceil(F.col("n") / per_bin).cast("long")))
-    rows = rows.join(plan, ["nosrc", "source"]).withColumn("bin", F.floor(F.col("u") * F.col("bins")).cast("long"))
+    keys, total = ["nosrc", "source"], rows.count()
+    rows = join_groups(rows, plan, keys, "n", total).withColumn("bin", F.floor(F.col("u") * F.col("bins")).cast("long"))
     rows = staged(rows)
     in_source = Window.partitionBy("nosrc", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy("nosrc", "source", "bin").agg(F.count("*").alias("n_bin")).withColumn("before", F.coalesce(F.sum("n_bin").over(in_source), F.lit(0))).drop("n_bin")
@@ -65,8 +67,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = staged(rows.withColumn("rate", rate).withColumn("start", start).select("nosrc", "source", "doc_id", "size", "source_size", "target", "rate", "start", "rank"))
     rotated = [F.col("start") + F.lit(k / OFFSETS) for k in range(OFFSETS)]
     misses = [F.struct(F.abs(F.sum(F.col("size") * copies(o)) - F.first("target")).alias("miss"), F.lit(k / OFFSETS).alias("turn")) for k, o in enumerate(rotated)]
-    best = rows.groupBy("nosrc", "source").agg(F.array_min(F.array(*misses))["turn"].alias("turn"))
-    rows = rows.join(best, ["nosrc", "source"]).withColumn("copies", copies(F.col("start") + F.col("turn")))
+    best = staged(rows.groupBy("nosrc", "source").agg(F.array_min(F.array(*misses))["turn"].alias("turn"), F.count("*").alias("n")))
+    rows = join_groups(rows, best, keys, "n", total).withColumn("copies", copies(F.col("start") + F.col("turn")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

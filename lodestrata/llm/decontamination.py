@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,10 +148,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     blocks, parts = int(words // BLOCK_WORDS) + 1, []
     for k in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        block = spark.sparkContext.broadcast(Items(own))
+        found = Items(own)
+        # As bytes that hold the class by value: workers need not be able to import this package.
+        block = spark.sparkContext.broadcast(cloudpickle.dumps(found))
 
         def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items, seen = block.value, {}
+            items, seen = pickle.loads(block.value), {}
             for batch in batches:
                 for t in batch.column(1):
                     for g in np.unique(items.hits(items.number(t.as_py() or ""), items.grams)[1]).tolist():
@@ -157,10 +161,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             yield pa.record_batch([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
         df = {r.gram % (1 << 64): r.n for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        seeds = spark.sparkContext.broadcast(block.value.seeds(df))
+        seeds = spark.sparkContext.broadcast(found.seeds(df))
 
         def find(batches: Iterator[pa.RecordBatch], block=block, seeds=seeds) -> Iterator[pa.RecordBatch]:
-            items, chosen = block.value, seeds.value
+            items, chosen = pickle.loads(block.value), seeds.value
             for batch in batches:
                 own = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in matches(t.as_py() or "", items, chosen)]
                 c = list(zip(*own)) or [()] * 4

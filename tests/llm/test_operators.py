@@ -215,3 +215,17 @@ def test_sql_twins(spark):
         c = sorted(df.columns)
         normal = lambda rows: sorted(tuple(repr(round(x, 9) + 0.0) if isinstance(x, float) else str(x) for x in r) for r in rows)
         assert normal(df.select(*c).collect()) == normal(con.sql(f"SELECT {', '.join(c)} FROM ({sql})").fetchall())
+
+
+def test_broadcast_items_need_no_package(tmp_path):
+    """Workers may lack this package on their path: the broadcast bytes hold the class by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lodestrata.llm.decontamination import Items
+
+    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read()).number('b a').tolist())"
+    found = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(Items([(1, "a b c d")])), capture_output=True, cwd=tmp_path)
+    assert found.stdout.split() == [b"[2,", b"1]"], found.stderr

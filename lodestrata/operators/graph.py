@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP = 50
@@ -125,3 +125,21 @@ def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
     c = changed.select("symbol_id").distinct()
     dep = edges.join(c, edges.dst == c.symbol_id, "left_semi").select(F.col("src").alias("symbol_id")).distinct().join(c, "symbol_id", "left_anti")
     return c.withColumn("is_changed", F.lit(True)).unionByName(dep.withColumn("is_changed", F.lit(False)))
+
+
+def neighbour_files(edges: DataFrame, symbols: DataFrame, symbol_id: str, k: int = 20) -> DataFrame:
+    """(file_path, neighbours): the k files with the most distinct neighbours of a symbol."""
+    near = edges.where((F.col("src") == symbol_id) | (F.col("dst") == symbol_id)).select(F.when(F.col("src") == symbol_id, F.col("dst")).otherwise(F.col("src")).alias("symbol_id")).distinct()
+    found = symbols.select("symbol_id", "file_path").join(near, "symbol_id").groupBy("file_path").agg(F.countDistinct("symbol_id").alias("neighbours"))
+    return found.orderBy(F.desc("neighbours"), "file_path").limit(k)
+
+
+def directory_lines(files: DataFrame, shown: int = 8, shortened: int = 6) -> DataFrame:
+    """(dir, line) of files(file_path): the sorted names of a folder, or the first of them and how many more there are."""
+    dir_, name = F.regexp_extract("file_path", "^(.*)/", 1), F.regexp_extract("file_path", "([^/]*)$", 1)
+    one = files.select(dir_.alias("dir"), name.alias("name")).distinct()
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy("name"))
+    top = one.withColumn("rank", rank).where(F.col("rank") <= shown).groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    j = top.join(one.groupBy("dir").agg(F.count("*").alias("n")), "dir")
+    cut = F.concat(F.array_join(F.slice("names", 1, shortened), ", "), F.lit(" ... +"), (F.col("n") - shortened).cast("string"), F.lit(" more"))
+    return j.select("dir", F.when(F.col("n") > shown, cut).otherwise(F.array_join("names", ", ")).alias("line"))

@@ -57,16 +57,15 @@ def search_symbols(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame
     return symbols.where(F.lower("symbol_id").contains(query.lower())).orderBy("symbol_id").limit(limit)
 
 
-def search_enhanced(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(symbol_id, match_type): ids, else mutual substrings of short names, then file paths, to the limit."""
+def search_enhanced(symbols: DataFrame, query: str, limit: int = 20, kinds: list[str] | None = None) -> DataFrame:
+    """(symbol_id, match_type): ids, else mutual substrings of short names, then file paths, to the limit; of kinds, if given."""
     q = query.lower()
-    name = F.lower("short_name")
-    kind = F.when(F.lower("symbol_id").contains(q), "symbol").when(name.contains(q) | F.lit(q).contains(name), "fuzzy_name").when(F.lower("file_path").contains(q.replace(".rs", "")), "file_path")
-    rows = symbols.select("symbol_id", kind.alias("match_type")).where("match_type is not null")
-    rank = F.when(F.col("match_type") == "symbol", 0).when(F.col("match_type") == "fuzzy_name", 1).otherwise(2)
-    any_id = F.broadcast(rows.agg(F.count_if(F.col("match_type") == "symbol").alias("ids")))
-    rows = rows.join(any_id).where((F.col("match_type") != "fuzzy_name") | (F.col("ids") == 0)).drop("ids")
-    return rows.orderBy(rank, "symbol_id").limit(limit)
+    name, on = F.lower("short_name"), lambda kind: F.lit(kinds is None or kind in kinds)
+    found = symbols.select("symbol_id", F.lower("symbol_id").contains(q).alias("id"), (on("fuzzy_name") & (name.contains(q) | F.lit(q).contains(name))).alias("name"), (on("file_path") & F.lower("file_path").contains(q.replace(".rs", ""))).alias("file")).where("id or name or file")
+    any_id = F.broadcast(found.agg(F.count_if("id").alias("ids")))
+    rank = F.when(F.col("id"), 0).when(F.col("name") & (F.col("ids") == 0), 1).when(F.col("file"), 2)
+    rows = found.join(any_id).select("symbol_id", rank.alias("rank")).where("rank is not null").orderBy("rank", "symbol_id").limit(limit)
+    return rows.select("symbol_id", F.element_at(F.array(*map(F.lit, ("symbol", "fuzzy_name", "file_path"))), F.col("rank") + 1).alias("match_type"))
 
 
 def path_matches(symbols: DataFrame, path: str) -> DataFrame:

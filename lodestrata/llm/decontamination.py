@@ -1,4 +1,4 @@
-"""Operator 2, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Operator 2, benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORDS = re.compile(r"[^\W_]+")
-NGRAM, WINDOW = 3, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of a full match of the item, and least number of matched words' worth of score.
 LEAST_SHARE, LEAST_WORDS = 0.5, 6
@@ -23,107 +22,150 @@ LEAST_SHARE, LEAST_WORDS = 0.5, 6
 BLOCK_WORDS = 2_000_000
 
 
+#: Places of items' words in a text that are held at once.
+PLACES = 1_000_000
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from first on, n of each, one range after another, and the range that each is of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return (first - np.cumsum(n) + n)[of] + np.arange(len(of)), of
+
+
 class Items:
-    """A block of test items as word numbers, with all their n-grams coded as integers."""
+    """A block of test items as word numbers, with the pairs of neighbouring words of each."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
         self.ids = [i for i, _ in rows]
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORDS.findall((t or "").lower())], np.int64) for _, t in rows]
-        self.short = [any(len(w) == n for w in self.words) for n in range(NGRAM)]
-        grams = [self.codes(w) for w in self.words]
-        self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]))
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for k, own in enumerate(grams):
-            for i, g in enumerate(own.tolist()):
-                self.places.setdefault(g, []).append((k, i))
-
-    @staticmethod
-    def codes(ids: np.ndarray) -> np.ndarray:
-        """A number for each n-gram of word numbers; an item shorter than an n-gram is one gram of its own."""
-        n = max(1, min(NGRAM, len(ids)))
-        if not len(ids):
-            return np.zeros(0, np.uint64)
-        h = np.full(len(ids) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h ^ ids[k : len(ids) - n + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
-
-    def hits(self, ids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, codes) of the text's n-grams, of each length that items have, that are in the sorted array."""
-        at, found = [], []
-        for n in range(1, NGRAM + 1):
-            if n < NGRAM and not self.short[n]:
-                continue
-            if len(ids) < n:
-                continue
-            known = np.nonzero(np.convolve(ids > 0, np.ones(n, int), "valid") == n)[0]
-            h = np.full(len(known), n, np.uint64)
-            for k in range(n):
-                h = (h ^ ids[known + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            where = np.minimum(np.searchsorted(among, h), len(among) - 1) if len(among) else np.zeros(len(h), int)
-            ok = among[where] == h if len(among) else np.zeros(len(h), bool)
-            at.append(known[ok])
-            found.append(h[ok])
-        return np.concatenate(at or [np.zeros(0, int)]), np.concatenate(found or [np.zeros(0, np.uint64)])
+        own = [np.unique(self.codes(w[:-1], w[1:]) if len(w) > 1 else w) for w in self.words]
+        every = np.concatenate([np.zeros(0, np.int64), *own])
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.pairs, at, count = np.unique(every, return_inverse=True, return_counts=True)
+        self.start = np.concatenate([[0], np.cumsum(count)])
+        self.owner = owner[np.argsort(at, kind="stable")]
+        self.own_pairs = [np.searchsorted(self.pairs, x) for x in own]
+        self.least_apart = np.array([max(1, len(w) - 3) if len(w) > LEAST_WORDS else np.iinfo(np.int64).max for w in self.words], np.int64)
+        words, uses = zip(*(np.unique(w, return_counts=True) for w in self.words)) if rows else ((), ())
+        self.own_words, self.own_uses = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (words, uses))
+        self.word_start = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        self.need = MATCH * np.array([max(min(LEAST_WORDS, len(w)), LEAST_SHARE * len(w)) for w in self.words], float)
+        self.word_mark, self.pair_mark = np.zeros(len(self.vocab) + 1, bool), np.zeros(len(self.pairs) + 1, bool)
+
+    def codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A number for each pair of word numbers, -1 if one is of no item; an item of one word has that word's number."""
+        return np.where((a > 0) & (b > 0), a * (len(self.vocab) + 1) + b, -1)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Index of each code among the items' pairs, their number if absent."""
+        at = np.searchsorted(self.pairs, codes)
+        known = at < len(self.pairs)
+        known[known] = self.pairs[at[known]] == codes[known]
+        return np.where(known, at, len(self.pairs))
+
+    def owners(self, places: np.ndarray) -> np.ndarray:
+        """The items that hold each place, one after another."""
+        return self.owner[_ranges(self.start[places], self.start[places + 1] - self.start[places])[0]]
+
+    def candidates(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Items that an alignment may reach: those with two neighbouring words next to each other in the text, or with
+        almost all neighbours one word apart there."""
+        known = len(self.pairs)
+        found = [self.owners(np.unique(x[x < known])) for x in (near, self.places(np.unique(ids[ids > 0])))]
+        apart = self.places(self.codes(ids[:-2], ids[2:]))
+        count = np.bincount(self.owners(apart[apart < known]), minlength=len(self.words))
+        return np.unique(np.concatenate([*found, np.nonzero(count >= self.least_apart)[0]]))
+
+    def reached(self, ids: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Those of the items for which MATCH for each of their words in some stretch of the text, less a mismatch or gap
+        for each other word in it, is the score needed at least. Bounded memory, however many items there are."""
+        if not len(some):
+            return some
+        at = np.argsort(ids, kind="stable")
+        count = np.bincount(ids, minlength=len(self.vocab) + 1)
+        first = np.cumsum(count) - count
+        words, item = _ranges(self.word_start[some], self.word_start[some + 1] - self.word_start[some])
+        n = count[self.own_words[words]]
+        keep = MATCH * np.bincount(item, np.minimum(n, self.own_uses[words]), len(some)) >= self.need[some]
+        some, n = some[keep], np.bincount(item, n, len(some)).astype(np.int64)[keep]
+        part, out = np.cumsum(n) // PLACES, [np.zeros(0, np.int64)]
+        for k in np.unique(part):
+            own = some[part == k]
+            words, item = _ranges(self.word_start[own], self.word_start[own + 1] - self.word_start[own])
+            word = self.own_words[words]
+            places, of = _ranges(first[word], count[word])
+            item, place = np.divmod(np.sort(item[of] * len(ids) + at[places]), len(ids))
+            total = (MATCH - max(MISMATCH, GAP)) * np.arange(len(item)) + max(MISMATCH, GAP) * place
+            # Each item's sums start below those of the items before it.
+            total -= item * (MATCH * len(item) + 2 * len(item) + 2 * len(ids) + 2)
+            best = total - np.minimum.accumulate(total) + MATCH
+            out.append(own[np.bincount(item[best >= self.need[own][item]], minlength=len(own)) > 0])
+        return np.concatenate(out)
 
     def number(self, text: str) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(w, 0) for w in WORDS.findall(text.lower())], np.int64)
 
-    def seeds(self, df: dict[int, int]) -> np.ndarray:
-        """Each run of WINDOW n-grams of an item keeps its rarest by document frequency, so any copy of NGRAM + WINDOW
-        - 1 words holds a seed however often the item was copied."""
-        kept = set()
-        for w in self.words:
-            own = self.codes(w).tolist()
-            for i in range(max(1, len(own) - WINDOW + 1)):
-                kept |= {min(own[i : i + WINDOW], key=lambda g: (df.get(g, 0), g))} if own else set()
-        return np.array(sorted(kept), np.uint64)
-
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """(score, end in b) of the best local alignment of two sequences of word numbers (0: a word of no item)."""
     step = np.arange(len(b) + 1) * -GAP
     row, best, end = np.zeros(len(b) + 1, np.int64), 0, 0
     for x in a:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(b == x, MATCH, MISMATCH), row[1:] + GAP))
-        row = np.maximum.accumulate(new + step) - step
-        if row.max() > best:
-            best, end = int(row.max()), int(row.argmax())
+        new = row + GAP
+        np.maximum(new[1:], row[:-1] + (MISMATCH + (MATCH - MISMATCH) * (b == x)), out=new[1:])
+        row = np.maximum.accumulate(np.maximum(new, 0) + step) - step
+        at = int(row.argmax())
+        if row[at] > best:
+            best, end = int(row[at]), at
     return best, end
 
 
-def matches(text: str, items: Items, seeds: np.ndarray) -> list[tuple[int, float, int]]:
+def stretches(own: np.ndarray, paired: np.ndarray, need: float) -> list[tuple[int, int]]:
+    """Stretches of a text that hold every alignment of the score needed.
+
+    own: whether the item has the word; paired: whether the item has the word and the next as neighbours. An alignment
+    scores MATCH for a word that it matches, at most, and a mismatch or gap for any other word of the text; two matched
+    words next to each other that are no neighbours in the item cost a gap. The greatest sum of these over any stretch
+    is thus at least the score.
+    """
+    gain = np.where(own, MATCH, max(MISMATCH, GAP))
+    gain[1:] += GAP * (own[1:] & own[:-1] & ~paired)
+    total = np.concatenate([[0], np.cumsum(gain)])
+    ending = total[1:] - np.minimum.accumulate(total)[:-1]
+    # The first word of a stretch has no neighbour in it.
+    if ending.max() - GAP < need:
+        return []
+    starting = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
+    hot = np.concatenate([[0], ending + starting - gain - GAP >= need, [0]]).astype(np.int8)
+    return list(zip(np.nonzero(np.diff(hot) > 0)[0].tolist(), np.nonzero(np.diff(hot) < 0)[0].tolist()))
+
+
+def matches(text: str, items: Items) -> list[tuple[int, float, int]]:
     """(item id, share of a full match, word where the alignment ends) of items that the text holds."""
     ids = items.number(text)
-    at, codes = items.hits(ids, seeds)
-    starts: dict[int, list[int]] = {}
-    for p, g in zip(at.tolist(), codes.tolist()):
-        for k, i in items.places[g]:
-            starts.setdefault(k, []).append(p - i)
+    near = items.places(items.codes(ids[:-1], ids[1:]))
     out = []
-    for k, diagonals in starts.items():
+    for k in items.reached(ids, items.candidates(ids, near)).tolist():
         a = items.words[k]
-        slack, need = max(4, len(a) // 2), MATCH * max(min(LEAST_WORDS, len(a)), LEAST_SHARE * len(a))
-        own, best, end = set(a.tolist()), 0, 0
-        diagonals.sort()
-        low = high = diagonals[0]
-        for d in [*diagonals[1:], None]:
-            if d is not None and d - high <= slack:
-                high = d
+        need = items.need[k]
+        items.word_mark[a] = True
+        own = items.word_mark[ids]
+        items.word_mark[a] = False
+        items.pair_mark[items.own_pairs[k]] = True
+        paired = items.pair_mark[near]
+        items.pair_mark[items.own_pairs[k]] = False
+        best, end = 0, 0
+        unique = slice(items.word_start[k], items.word_start[k + 1])
+        for first, last in stretches(own, paired, need):
+            # An item's word matches as often as the item has it, at most.
+            count = np.bincount(ids[first:last], minlength=len(items.word_mark))[items.own_words[unique]]
+            if MATCH * np.minimum(count, items.own_uses[unique]).sum() < need:
                 continue
-            first, last = max(0, low - slack), high + len(a) + slack
-            b = ids[first:last]
-            # A score is at most MATCH for each word that both have.
-            if MATCH * sum(x in own for x in b.tolist()) >= need:
-                score, e = align(a, b)
-                if score > best:
-                    best, end = score, first + e
-            low = high = d
+            score, e = align(a, ids[first:last])
+            if score > best:
+                best, end = score, first + e
         if best >= need:
             out.append((items.ids[k], best / (MATCH * len(a)), end))
     return out
@@ -132,10 +174,12 @@ def matches(text: str, items: Items, seeds: np.ndarray) -> list[tuple[int, float
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, score, end_word): the document holds an exact, paraphrased or edited copy of the item.
 
-    First pass: document frequency, over all documents, of every n-gram of the items. Each run of WINDOW n-grams of an
-    item keeps its rarest as a seed. Second pass: seeds in a document give candidate stretches, aligned with the item
-    by Smith-Waterman over words; a pair needs LEAST_SHARE of the score of a full match. Both passes map whole texts;
-    only frequencies of the items' n-grams shuffle. The benchmark is collected in blocks of at most BLOCK_WORDS words.
+    Items are aligned with a document by Smith-Waterman over words, where a bound on the score reaches LEAST_SHARE of
+    that of a full match. The seeds are pairs of words. An alignment of that share without two neighbouring words of the
+    item next to each other in the text leaves an error between any two matches, so it matches all words of the item
+    but one at least and has nearly all neighbours one word apart; these are the seeds as well, counted. No pair of
+    that share is lost, however the copy was edited. One pass maps whole texts; nothing shuffles. The benchmark is
+    collected in blocks of at most BLOCK_WORDS words.
 
     Null or empty texts and items match nothing. Repeated rows give repeated pairs. An empty table on either side gives
     no rows. Further columns are ignored.
@@ -152,21 +196,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         # As bytes that hold the class by value: workers need not be able to import this package.
         block = spark.sparkContext.broadcast(cloudpickle.dumps(found))
 
-        def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items, seen = pickle.loads(block.value), {}
-            for batch in batches:
-                for t in batch.column(1):
-                    for g in np.unique(items.hits(items.number(t.as_py() or ""), items.grams)[1]).tolist():
-                        seen[g] = seen.get(g, 0) + 1
-            yield pa.record_batch([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
-        df = {r.gram % (1 << 64): r.n for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        seeds = spark.sparkContext.broadcast(found.seeds(df))
-
-        def find(batches: Iterator[pa.RecordBatch], block=block, seeds=seeds) -> Iterator[pa.RecordBatch]:
-            items, chosen = pickle.loads(block.value), seeds.value
+        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            items = pickle.loads(block.value)
             for batch in batches:
-                own = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in matches(t.as_py() or "", items, chosen)]
+                own = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in matches(t.as_py() or "", items)]
                 c = list(zip(*own)) or [()] * 4
                 yield pa.record_batch([pa.array(c[0], batch.schema.field(0).type), pa.array(c[1]).cast(pa.int64()) if item_kind == "bigint" else pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 

@@ -113,6 +113,38 @@ def test_decontamination_finds_edited_copies(spark):
     assert {r.doc_id for r in got} == {1, 2, 4} and all(0.5 <= r.score <= 1 for r in got)
 
 
+def test_decontamination_loses_no_alignment():
+    """Copies with every 3rd, 4th or 5th word changed, a word put in after each, or at random, against the alignment of
+    whole texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pool = [f"w{i}" for i in range(400)]
+    texts = [[f"u{k}x{i}" for i in range(40)] if k % 2 else rng.choice(pool, 12 + k).tolist() for k in range(40)]
+    docs = []
+    for w in texts:
+        docs += [[x if i % n else "new" for i, x in enumerate(w)] for n in (3, 4, 5)] + [[y for x in w for y in (x, "new")]]
+        docs += [[x for x in w for x in ([x], ["new"], [], [x, "new"])[rng.choice(4, p=[0.7, 0.1, 0.1, 0.1])]]]
+    docs += texts[:10]  # exact copies beside the edited ones
+    docs = [rng.choice(pool, 30).tolist() + d + rng.choice(pool, 30).tolist() for d in docs]
+    items = decontamination.Items([(k, " ".join(w)) for k, w in enumerate(texts)])
+    edited = 0
+    for k, d in enumerate(docs):
+        ids = items.number(" ".join(d))
+        want = {i: score / (2 * len(w)) for i, w in enumerate(items.words) if (score := decontamination.align(w, ids)[0]) >= max(12, len(w))}
+        assert {i: s for i, s, _ in decontamination.matches(" ".join(d), items)} == want
+        edited += k < 200 and k // 5 in want
+    assert edited > 150
+
+
+def test_decontamination_every_nth_word_changed(spark):
+    item = [f"u{i}" for i in range(40)]
+    rows = [(n, " ".join(x if i % n else "new" for i, x in enumerate(item))) for n in (4, 5)] + [(k, " ".join(item)) for k in (10, 11, 12)]
+    for own in (rows[:1], rows[1:2], rows[:1] + rows[2:], rows[1:]):
+        got = decontamination.decontaminate(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+        assert {r.doc_id for r in got} == {i for i, _ in own}
+
+
 def test_mixing_near_targets(spark, docs):
     source = {r.doc_id: r.source for r in docs.collect()}
     taken, target = Counter(), {}

@@ -77,20 +77,30 @@ def only_marked(rows: DataFrame, marked: DataFrame, slot: str = "slot") -> DataF
     return joined.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("bucket", "bits")
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 128) -> DataFrame:
     """(node, label): label is the smallest node reachable over the edges; nodes without an edge are absent.
 
-    Smallest-neighbour propagation with pointer jumping; every round is written to the shared folder, and rounds grow
-    with the logarithm of a path's length. Only a count of changed labels reaches the driver.
+    Each round hooks every node to its smallest neighbour if that is smaller, jumps pointers to the roots and contracts
+    the edges to edges between roots, until none is left. A root that no other hooked to has a smaller neighbour in the
+    next round, so two rounds halve the roots that have edges, at least, and the rounds grow with the logarithm of
+    the nodes. Every round is written to the shared folder; only whether rows are left reaches the driver. More rounds
+    than the bound raise an error.
     """
-    both = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
-    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    left = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    labels = None
     for _ in range(rounds):
-        near = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
-        low = staged(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = staged(low.join(jump, "low", "left").select("node", F.col("label").alias("old"), F.coalesce("next", "low").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            break
-    return labels
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")))
+        while True:
+            jump = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            new = staged(up.join(jump, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")))
+            up = new.select("node", "label")
+            if new.where("old <> label").isEmpty():
+                break
+        labels = up if labels is None else staged(labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        ends = (up.select(F.col("node").alias(x), F.col("label").alias(f"{x}_top")) for x in "uv")
+        left = left.join(next(ends), "u").join(next(ends), "v").select(F.greatest("u_top", "v_top").alias("u"), F.least("u_top", "v_top").alias("v"))
+        left = staged(left.where("u <> v").distinct())
+        if left.isEmpty():
+            return labels
+    raise RuntimeError(f"components are not complete after {rounds} rounds")

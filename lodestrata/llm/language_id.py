@@ -22,15 +22,31 @@ MEMO_WORDS = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: Letters with a column of the trie's table, those in the most pieces; the steps of all others are looked up by search.
+COLUMNS = 255
+
+
 @dataclass
 class Lattice:
-    """A trie of the pieces over small character codes; arrays, so that a batch of words is walked at once."""
+    """A trie of the pieces over character codes; arrays, so that a batch of words is walked at once."""
 
     chars: dict[str, int]
-    step: np.ndarray  # node, code -> node, 0: none
+    step: np.ndarray  # node, code up to COLUMNS -> node, 0: none
+    rare: np.ndarray  # sorted node << 16 | code, for the codes beyond
+    rare_to: np.ndarray  # their nodes
     piece: np.ndarray  # node -> piece, -1: none
     n_pieces: int
 
+    def next(self, node: np.ndarray | int, code: np.ndarray) -> np.ndarray:
+        beyond = code > COLUMNS
+        if not beyond.any():
+            return self.step[node, code]
+        out = self.step[node, np.where(beyond, 0, code)]
+        key = (np.broadcast_to(node, code.shape)[beyond].astype(np.int64) << 16) | code[beyond]
+        at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+        out[beyond] = np.where(self.rare[at] == key, self.rare_to[at], 0)
+        return out
+
 
 def read_pieces(path: str) -> list[str]:
     """Lower-case pieces of letters of the fixed vocabulary, without word marks, and all their single letters."""
@@ -43,29 +59,28 @@ def read_pieces(path: str) -> list[str]:
 
 
 def build_lattice(pieces: list[str]) -> Lattice:
-    chars = {c: i + 1 for i, c in enumerate(sorted({c for x in pieces for c in x}))}
-    # Codes up to 255, for the letters in the most pieces, keep the table small; other letters step as unknown.
-    if len(chars) > 255:
-        uses: dict[str, int] = {}
-        for x in pieces:
-            for c in x:
-                uses[c] = uses.get(c, 0) + 1
-        top = sorted(uses, key=lambda c: (-uses[c], c))[:255]
-        chars = {c: i + 1 for i, c in enumerate(top)}
-        pieces = [x for x in pieces if all(c in chars for c in x)]
+    uses: dict[str, int] = {}
+    for x in pieces:
+        for c in x:
+            uses[c] = uses.get(c, 0) + 1
+    chars = {c: i + 1 for i, c in enumerate(sorted(uses, key=lambda c: (-uses[c], c)))}
     nodes, ends = [{}], {}
     for k, x in enumerate(pieces):
         at = 0
         for c in x:
             at = nodes[at][chars[c]] if chars[c] in nodes[at] else _add(nodes, at, chars[c])
         ends[at] = k
-    step = np.zeros((len(nodes), len(chars) + 1), np.int32)
+    step, rare = np.zeros((len(nodes), min(len(chars), COLUMNS) + 1), np.int32), {}
     for i, own in enumerate(nodes):
         for c, j in own.items():
-            step[i, c] = j
+            if c <= COLUMNS:
+                step[i, c] = j
+            else:
+                rare[i << 16 | c] = j
+    keys = sorted(rare)
     piece = np.full(len(nodes), -1, np.int32)
     piece[list(ends)] = list(ends.values())
-    return Lattice(chars, step, piece, len(pieces))
+    return Lattice(chars, step, np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32), piece, len(pieces))
 
 
 def _add(nodes: list[dict], at: int, code: int) -> int:
@@ -79,7 +94,7 @@ def coded(words: list[str], lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
     width = max(map(len, words), default=1)
     raw = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
     top = int(raw.max(initial=0)) + 1
-    codes = np.zeros(max(top, 1), np.uint8)
+    codes = np.zeros(max(top, 1), np.uint16)
     for c, i in lattice.chars.items():
         if ord(c) < top:
             codes[ord(c)] = i
@@ -99,13 +114,13 @@ def forward(codes: np.ndarray, n: np.ndarray, lattice: Lattice, logp: np.ndarray
     for i in range(width):
         live = np.nonzero(n > i)[0]
         node = np.zeros(len(live), np.int32)
-        single = lattice.piece[lattice.step[0, codes[live, i]]] < 0
+        single = lattice.piece[lattice.next(0, codes[live, i])] < 0
         if single.any():
             alpha[i + 1, live[single]] += alpha[i, live[single]] * unknown
         for j in range(i, min(width, i + MAX_PIECE)):
             ok = j < n[live]
             live, node = live[ok], node[ok]
-            node = lattice.step[node, codes[live, j]]
+            node = lattice.next(node, codes[live, j])
             ok = node > 0
             live, node = live[ok], node[ok]
             if not len(live):
@@ -126,13 +141,13 @@ def expected_counts(codes: np.ndarray, n: np.ndarray, weight: np.ndarray, lattic
     for i in range(width):
         live = np.nonzero(n > i)[0]
         node = np.zeros(len(live), np.int32)
-        single = live[lattice.piece[lattice.step[0, codes[live, i]]] < 0]
+        single = live[lattice.piece[lattice.next(0, codes[live, i])] < 0]
         alpha[i + 1, single] += alpha[i, single] * unknown
         arcs.append((i, i, single, None))
         for j in range(i, min(width, i + MAX_PIECE)):
             ok = j < n[live]
             live, node = live[ok], node[ok]
-            node = lattice.step[node, codes[live, j]]
+            node = lattice.next(node, codes[live, j])
             ok = node > 0
             live, node = live[ok], node[ok]
             if not len(live):
@@ -159,7 +174,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """(languages, log probabilities pieces x languages) from rows with a language; docs holds training rows only.
 
     Piece probabilities start from the counts of all occurrences of a piece and are refined by EM over the sampled
-    words. The words reach the driver as (lang, word, count) sums of a bounded sample of documents.
+    words; longer words are learned in the chunks that identify() scores. The words reach the driver as (lang, word, count) sums of a bounded sample of documents.
     """
     pieces = read_pieces(path or vocabulary_path())
     lattice = build_lattice(pieces)
@@ -170,7 +185,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rate = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_a_lang / sizes[k])))))
     u = F.pmod(F.xxhash64(F.lit(10), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = docs.where(F.col(lang).isin(langs) & (u < rate[F.col(lang)])).select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"))
-    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word")).where(F.length("word") <= MAX_WORD)
+    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word"))
+    words = words.select("lang", F.explode(F.expr(f"transform(sequence(0, (length(word) - 1) div {MAX_WORD}), i -> substring(word, cast(i * {MAX_WORD} + 1 as int), {MAX_WORD}))")).alias("word"))
     # The most frequent words reach the driver, a fixed number.
     best = words.groupBy("lang", "word").count()
     rows = best.withColumn("u", F.pmod(F.xxhash64("word"), F.lit(1000))).orderBy(F.desc("count"), "u", "word").limit(60_000 * len(langs)).toPandas()

@@ -225,6 +225,34 @@ def test_language_held_out(spark, docs):
     assert len(got) > 20 and sum(got) / len(got) > 0.95
 
 
+def test_language_of_any_script(spark):
+    """Chinese, Arabic, Korean, and a language that only words of over 24 letters tell from another."""
+    some = {
+        "zh": "我们今天在学校学习中文 他们昨天去北京看朋友 这个城市有很多人 我喜欢吃米饭和水果",
+        "ar": "ذهب الولد الى المدرسة في الصباح وكان الطقس جميلا جدا والكتاب على الطاولة في البيت الكبير",
+        "ko": "나는 오늘 학교에서 한국어를 공부하고 친구와 함께 점심을 먹었다 도시에는 사람이 많다",
+        "en": "the children went to school in the morning and the weather was very nice in the big house",
+        "xx": "wolkenkratzerfensterputzerleiterhersteller donaudampfschifffahrtsgesellschaftskapitaen",
+    }
+    train = spark.createDataFrame([(i, t, k) for k, t in some.items() for i in range(20)], "doc_id long, text string, lang string")
+    asked = {"zh": "他们今天去学校学习", "ar": "الكتاب في المدرسة على الطاولة", "ko": "친구와 함께 한국어를 공부하고", "en": "the weather was nice", "xx": "donaudampfschifffahrtsgesellschaftskapitaen"}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked.values())], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(rows, *language_id.train(train)).collect()}
+    assert [got[i].lang_pred for i in range(len(asked))] == list(asked) and all(r.score > 0.5 for r in got.values())
+
+
+def test_every_piece_is_reached():
+    pieces = language_id.read_pieces(language_id.vocabulary_path())
+    lattice = language_id.build_lattice(pieces)
+    assert lattice.n_pieces == len(pieces)
+    codes, n = language_id.coded(pieces, lattice)
+    node = codes[:, 0].astype("int32") * 0
+    for j in range(codes.shape[1]):
+        live = n > j
+        node[live] = lattice.next(node[live], codes[live, j])
+    assert lattice.piece[node].tolist() == list(range(len(pieces)))
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
 

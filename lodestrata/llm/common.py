@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -18,19 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if driver and
+    executors are one process, as in tests; an error on a cluster, whose machines wouldn't see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation."""
+    """Writes df to the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation.
+
+    The folder stays until dropped(); what a returned plan still reads is left to the owner of the shared folder.
+    """
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of staged tables whose successors are written: no plan that is still to run may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column is called so (case aside)."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
 
 
 def unit(*cols: Column | str) -> Column:
@@ -77,6 +101,31 @@ def only_marked(rows: DataFrame, marked: DataFrame, slot: str = "slot") -> DataF
     return joined.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("bucket", "bits")
 
 
+def with_decision(docs: DataFrame, decided: DataFrame, total: int, key: str = "doc_id", name: str = "decided") -> DataFrame:
+    """docs with a column `name`: the number 0, 1 or 2 that decided(key, value) has for the key (one row per key, nulls too).
+
+    Where all keys of a filter slot have one value, the row takes it in place: the filter is broadcast as bitmaps of a
+    bounded size. Only rows in slots of several values shuffle, to be joined by key; a filter that is too small for its
+    input sends more rows there and decides none wrongly. Keys that `decided` lacks have null or any value.
+    """
+    slots = slots_for(total, 8)
+    slot, bucket, at, bits = (free_name(x, docs.columns) for x in ("slot", "bucket", "at", "bits"))
+    hashed = lambda c: slot_of(F.xxhash64(c), slots)
+    one = decided.select(hashed(F.col(key)).alias("s"), F.col("value").cast("int").alias("value")).groupBy("s").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    construct = lambda cond: F.expr(f"bitmap_construct_agg(s % {BITMAP}) filter (where {cond})")
+    maps = one.groupBy(F.expr(f"s div {BITMAP}").alias(bucket)).agg(F.struct(construct("low <> high").alias("mixed"), construct("low = high and low = 1").alias("one"), construct("low = high and low = 2").alias("two")).alias(bits))
+    rows = docs.withColumn(slot, hashed(docs[key])).withColumn(bucket, F.expr(f"{slot} div {BITMAP}")).withColumn(at, F.expr(f"cast({slot} % {BITMAP} as int)"))
+    rows = rows.join(F.broadcast(maps), bucket, "left")
+    bit = lambda m: F.coalesce(F.expr(f"(conv(hex(substring({bits}.{m}, {at} div 8 + 1, 1)), 16, 10) >> ({at} % 8)) & 1 = 1"), F.lit(False))
+    mixed = free_name("mixed", docs.columns)
+    rows = rows.select(*(F.col(c) for c in docs.columns), bit("mixed").alias(mixed), F.when(bit("one"), 1).when(bit("two"), 2).otherwise(0).alias(name))
+    sure = rows.where(~F.col(mixed)).select(*docs.columns, name)
+    other = decided.select(F.col(key).alias(slot), F.col("value").cast("int").alias(bits))
+    rest = rows.where(F.col(mixed)).drop(name)
+    rest = rest.join(other, F.col(key).eqNullSafe(F.col(slot)), "left").select(*(F.col(c) for c in docs.columns), F.col(bits).alias(name))
+    return sure.unionByName(rest)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 128) -> DataFrame:
     """(node, label): label is the smallest node reachable over the edges; nodes without an edge are absent.
 
@@ -94,13 +143,21 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 128) -
         while True:
             jump = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
             new = staged(up.join(jump, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")))
-            up = new.select("node", "label")
+            dropped(up)
+            up = new
             if new.where("old <> label").isEmpty():
                 break
-        labels = up if labels is None else staged(labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
-        ends = (up.select(F.col("node").alias(x), F.col("label").alias(f"{x}_top")) for x in "uv")
-        left = left.join(next(ends), "u").join(next(ends), "v").select(F.greatest("u_top", "v_top").alias("u"), F.least("u_top", "v_top").alias("v"))
+        tops = up.select("node", "label")
+        if labels is None:
+            labels = staged(tops)
+        else:
+            old, labels = labels, staged(labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+            dropped(old)
+        ends = (tops.select(F.col("node").alias(x), F.col("label").alias(f"{x}_top")) for x in "uv")
+        old, left = left, left.join(next(ends), "u").join(next(ends), "v").select(F.greatest("u_top", "v_top").alias("u"), F.least("u_top", "v_top").alias("v"))
         left = staged(left.where("u <> v").distinct())
+        dropped(old, up)
         if left.isEmpty():
+            dropped(left)
             return labels
     raise RuntimeError(f"components are not complete after {rounds} rounds")

@@ -33,12 +33,21 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of test items as word numbers, with the pairs of neighbouring words of each."""
+    """A block of test items as word numbers, with the pairs of neighbouring words of each.
+
+    Items of fewer than LEAST_WORDS words are kept apart: only a text of just these words is a copy of one.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
+        cut = [(i, WORDS.findall((t or "").lower())) for i, t in rows]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, w in cut:
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(i)
+        rows = [(i, w) for i, w in cut if len(w) >= LEAST_WORDS]
         self.ids = [i for i, _ in rows]
-        self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in WORDS.findall((t or "").lower())], np.int64) for _, t in rows]
+        self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in own], np.int64) for _, own in rows]
         own = [np.unique(self.codes(w[:-1], w[1:]) if len(w) > 1 else w) for w in self.words]
         every = np.concatenate([np.zeros(0, np.int64), *own])
         owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -103,9 +112,9 @@ class Items:
             out.append(own[np.bincount(item[best >= self.need[own][item]], minlength=len(own)) > 0])
         return np.concatenate(out)
 
-    def number(self, text: str) -> np.ndarray:
+    def number(self, words: list[str]) -> np.ndarray:
         get = self.vocab.get
-        return np.array([get(w, 0) for w in WORDS.findall(text.lower())], np.int64)
+        return np.array([get(w, 0) for w in words], np.int64)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -144,7 +153,10 @@ def stretches(own: np.ndarray, paired: np.ndarray, need: float) -> list[tuple[in
 
 def matches(text: str, items: Items) -> list[tuple[int, float, int]]:
     """(item id, share of a full match, word where the alignment ends) of items that the text holds."""
-    ids = items.number(text)
+    words = WORDS.findall(text.lower())
+    if len(words) < LEAST_WORDS:
+        return [(i, 1.0, len(words)) for i in items.short.get(tuple(words), ())]
+    ids = items.number(words)
     near = items.places(items.codes(ids[:-1], ids[1:]))
     out = []
     for k in items.reached(ids, items.candidates(ids, near)).tolist():
@@ -171,6 +183,18 @@ def matches(text: str, items: Items) -> list[tuple[int, float, int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[list, str]:
+    """Broadcast blocks of Items, of about BLOCK_WORDS words each, and the type of the ids."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
+    words = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
+    blocks, out = int(words // BLOCK_WORDS) + 1, []
+    for k in range(blocks):
+        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
+        # As bytes that hold the class by value: workers need not be able to import this package.
+        out.append(benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Items(own))))
+    return out, items.schema["item_id"].dataType.simpleString()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, score, end_word): the document holds an exact, paraphrased or edited copy of the item.
 
@@ -179,22 +203,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     item next to each other in the text leaves an error between any two matches, so it matches all words of the item
     but one at least and has nearly all neighbours one word apart; these are the seeds as well, counted. No pair of
     that share is lost, however the copy was edited. One pass maps whole texts; nothing shuffles. The benchmark is
-    collected in blocks of at most BLOCK_WORDS words.
+    collected in blocks of about BLOCK_WORDS words; a single item has to fit the driver and a worker.
 
-    Null or empty texts and items match nothing. Repeated rows give repeated pairs. An empty table on either side gives
-    no rows. Further columns are ignored.
+    An item of fewer than LEAST_WORDS words says too little inside a text: only texts of just its words match, with score
+    1. Null or empty texts and items match nothing. Texts of any length are taken whole. Rows with a null doc_id give
+    pairs with a null doc_id; repeated rows give repeated pairs. An empty table on either side gives no rows. Further
+    columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((rows, "doc_id"), (items, "item_id")))
-    words = items.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
-    blocks, parts = int(words // BLOCK_WORDS) + 1, []
-    for k in range(blocks):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        found = Items(own)
-        # As bytes that hold the class by value: workers need not be able to import this package.
-        block = spark.sparkContext.broadcast(cloudpickle.dumps(found))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    blocks, item_kind = _blocks(benchmark, item_id, item_text)
+    parts = []
+    for block in blocks:
 
         def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = pickle.loads(block.value)
@@ -210,5 +230,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
+def without_copies(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no copy of an item in the sense of decontaminate(); each row is decided in
+    place, in one scan for all blocks of items. Null and empty texts stay."""
+    column = docs.columns.index(text)
+    out = docs
+    for block in _blocks(benchmark, item_id, item_text)[0]:
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            items = pickle.loads(block.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not matches(t.as_py() or "", items) for t in batch.column(column)], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, join_groups, only_marked, slot_of, slots_for, staged, table
+from .common import WORD, connected, dropped, join_groups, only_marked, slot_of, slots_for, staged, table
 
-#: Documents of a cluster beyond this number are searched in blocks of about this size.
-BLOCK = 256
+#: Shingles that a block of a cluster holds at most, about: a larger cluster is searched in several blocks.
+BLOCK_SHINGLES = 1 << 20
 #: Documents of a large cluster that every block of it holds, to connect what the blocks find.
 PIVOTS = 16
+#: DivideSkip's weight of the longest list against the number set aside, and the entries up to which the short lists go
+#: through a heap; more are counted in one pass, since a heap in Python costs some 0.3 microseconds an entry.
+MU, HEAP_ENTRIES = 0.0085, 1 << 11
+#: So many candidates are probed one by one; more at once, and a long list of under PROBE times their number is added whole.
+FEW, PROBE = 16, 8
 #: A document's posted prefix is longer than the least one by this share of its size; pairs then share as many more shingles.
 EXTRA = 0.06
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,63 +80,135 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)])))
 
 
-def linked(overlap, n, m, percent: int):
-    return 100 * overlap >= percent * (n + m - overlap)
+def heap_merge(lists: list[list[int]], weights: list[int], low: int, high: int, least: int) -> dict[int, int]:
+    """Entries from low up to high that lists of `least` weight in all hold at least, with that weight.
+
+    The heap holds the next entry of each list. Where the smallest entry has too little weight, more lists are popped as
+    long as those popped weigh too little even together: none of them can reach `least` before the heap's new top, so
+    they skip on to it by binary search.
+    """
+    at = [bisect_left(own, low) for own in lists]
+    n = len(lists)
+    heap = [own[i] * n + k for k, (own, i) in enumerate(zip(lists, at)) if i < len(own) and own[i] < high]
+    heapify(heap)
+    out: dict[int, int] = {}
+    while heap:
+        top, k = divmod(heappop(heap), n)
+        popped, weight = [k], weights[k]
+        while heap and heap[0] < (top + 1) * n:
+            popped.append(heappop(heap) % n)
+            weight += weights[popped[-1]]
+        if weight >= least:
+            out[top] = weight
+            onward = top + 1
+        else:
+            while heap and weight + weights[heap[0] % n] < least:
+                popped.append(heappop(heap) % n)
+                weight += weights[popped[-1]]
+            if not heap:
+                break
+            onward = heap[0] // n
+        for k in popped:
+            own = lists[k]
+            i = at[k] = bisect_left(own, onward, at[k])
+            if i < len(own) and own[i] < high:
+                heappush(heap, own[i] * n + k)
+    return out
 
 
 class Lists:
-    """Inverted lists over a block of sets."""
+    """Inverted lists over a block of sets in order of size. Shingles with equal lists are one list with their number as weight."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent, self.size = percent, np.array([len(s) for s in sets])
+        self.percent, self.size = percent, [len(s) for s in sets]
+        self.sizes = np.array(self.size, np.int64)
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.size)
         order = np.lexsort((owner, every))
         self.keys, start = np.unique(every[order], return_index=True)
-        self.start, self.owner = np.append(start, len(every)), owner[order]
-
-    def search(self, query: np.ndarray) -> np.ndarray:
+        self.owner = owner[order]
+        # Lists are equal if their members' random numbers have equal sums.
+        random = np.random.default_rng(1).integers(0, 1 << 63, max(1, len(sets)), np.uint64)
+        sums = np.add.reduceat(random[self.owner], start) if len(start) else np.zeros(0, np.uint64)
+        _, first, self.list_of = np.unique(sums, return_index=True, return_inverse=True)
+        self.first, self.last = start[first], np.append(start, len(every))[first + 1] if len(first) else start
+        self.df = self.last - self.first
+        self.held: dict[int, list[int]] = {}
+
+    def members(self, k: int) -> list[int]:
+        if k not in self.held:
+            self.held[k] = self.owner[self.first[k] : self.last[k]].tolist()
+        return self.held[k]
+
+    def search(self, query: np.ndarray) -> list[int]:
         """Members linked with the query, by DivideSkip.
 
-        A member needs T shingles of the query. The L longest lists are set aside (L < T); the short ones are merged
-        and counted, and members in T - L of them at least are looked up in the long lists by binary search. The count
-        is then exact and is compared with the overlap that the two sizes need.
+        Only members of a fitting size are searched, which are a range. A member needs `need` shingles of the query at
+        least. The longest lists of under that weight are set aside, the fewer the longer the longest is; the short ones
+        are merged by a heap that skips; members that reach what is left of `need` are looked up in the long lists by
+        binary search until they can't reach the overlap that the two sizes need. The overlap is then exact.
         """
+        n, percent, size = len(query), self.percent, self.size
+        low = bisect_left(size, least_overlap(n, percent))
+        high = bisect_right(size, 100 * n // percent)
+        need = least_overlap(n, percent)
         at = np.searchsorted(self.keys, query)
-        at = at[at < len(self.keys)]
-        at = at[np.isin(self.keys[at], query, assume_unique=True)]
-        need = least_overlap(len(query), self.percent)
-        if len(at) < need:
-            return np.zeros(0, int)
-        length = self.start[at + 1] - self.start[at]
-        at = at[np.argsort(length, kind="stable")]
-        n_long = min(need - 1, int(need / (0.01 * math.log(len(self.size) + 1) * 10 + 1)))
-        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        merged = np.concatenate([self.owner[self.start[k] : self.start[k + 1]] for k in short]) if len(short) else np.zeros(0, int)
-        count = np.bincount(merged, minlength=len(self.size))
-        found = np.nonzero(count >= max(1, need - n_long))[0]
-        for k in long:
-            own = self.owner[self.start[k] : self.start[k + 1]]
-            where = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            count[found] += own[where] == found
-        return found[linked(count[found], len(query), self.size[found], self.percent)]
-
-
-def _pair(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    low, high = sorted((len(a), len(b)))
-    if 100 * low < percent * high:
-        return False
-    return bool(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
+        at = np.minimum(at, len(self.keys) - 1)
+        which, weight = np.unique(self.list_of[at[self.keys[at] == query]], return_counts=True) if low < high else ([], [])
+        if low >= high or weight.sum() < need:
+            return []
+        order = np.argsort(self.df[which], kind="stable")
+        which, weight = which[order].tolist(), weight[order].tolist()
+        most = min(need - 1, need / (MU * math.log(int(self.df[which[-1]]) + 1) + 1))
+        cut, aside = len(which), 0
+        while cut and aside + weight[cut - 1] <= most:
+            cut -= 1
+            aside += weight[cut]
+        if self.df[which[:cut]].sum() <= HEAP_ENTRIES:
+            count = heap_merge([self.members(k) for k in which[:cut]], weight[:cut], low, high, need - aside)
+            if len(count) <= FEW:
+                return [m for m, got in count.items() if self._reaches(m, got, n, which[cut:], weight[cut:], aside)]
+            some = np.fromiter(count, np.int64, len(count))
+            sums = np.zeros(len(size), np.int64)
+            sums[some] = list(count.values())
+        else:
+            sums = np.zeros(len(size), np.int64)
+            for k, w in zip(which[:cut], weight):
+                sums[self.owner[self.first[k] : self.last[k]]] += w
+            some = low + np.nonzero(sums[low:high] >= need - aside)[0]
+        wanted = -(-percent * (n + self.sizes) // (100 + percent))
+        for k, w in zip(which[cut:], weight[cut:]):
+            some = some[sums[some] + aside >= wanted[some]]
+            if not len(some):
+                return []
+            own, aside = self.owner[self.first[k] : self.last[k]], aside - w
+            if len(some) * PROBE < len(own):
+                i = np.minimum(np.searchsorted(own, some), len(own) - 1)
+                sums[some[own[i] == some]] += w
+            else:
+                sums[own] += w
+        return some[sums[some] >= wanted[some]].tolist()
+
+    def _reaches(self, m: int, got: int, n: int, lists: list[int], weights: list[int], rest: int) -> bool:
+        """Whether member m, with got shingles in common so far, has the overlap that 100 * overlap >= percent * union asks for."""
+        wanted = -(-self.percent * (n + self.size[m]) // (100 + self.percent))
+        for k, w in zip(lists, weights):
+            if got >= wanted or got + rest < wanted:
+                break
+            own, rest = self.members(k), rest - w
+            i = bisect_left(own, m)
+            got += w * (i < len(own) and own[i] == m)
+        return got >= wanted
 
 
 def search_block(own: list[tuple[int, int, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Edges (id, id) that connect what is linked in a block of (id, label, is query only, set).
 
-    Members with equal labels are known to be connected and aren't compared. The first member of each label found so
-    far is tried first; what it links with joins its label. Then all members outside the largest label search the
-    lists of the whole block, so that each pair of different labels is decided.
+    Every link comes from a search. Rows that are query only search the members. Without such rows all members search,
+    the most typical first; as soon as one component holds more than half of the members, those in it needn't search
+    any more: a pair that isn't connected yet has a side that searches. Equal labels are known to be connected.
     """
-    edges, parent = [], {}
+    parent: dict = {}
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -137,38 +216,35 @@ def search_block(own: list[tuple[int, int, bool, np.ndarray]], percent: int) ->
             x = parent[x]
         return x
 
-    for i, label, _, _ in own:
-        parent[root(("d", i))] = root(("l", label))
-    if len({root(("d", x[0])) for x in own}) < 2:
+    members = sorted((x for x in own if not x[2]), key=lambda x: (len(x[3]), x[0]))
+    queries = [x for x in own if x[2]]
+    if not members or len(members) < 2 and not queries:
         return []
-    heads: list[tuple[int, np.ndarray]] = []
-    for i, _, _, s in own:
-        for j, t in heads:
-            if root(("d", i)) == root(("d", j)):
-                break
-            if _pair(s, t, percent):
-                parent[root(("d", i))] = root(("d", j))
-                edges.append((i, j))
-                break
-        else:
-            if len(heads) < PIVOTS:
-                heads.append((i, s))
-    sizes: dict = {}
-    for x in own:
-        sizes[root(("d", x[0]))] = sizes.get(root(("d", x[0])), 0) + (not x[2])
-    if len(sizes) < 2:
-        return edges
-    main = max(sizes, key=lambda r: (sizes[r], str(r)))
-    members = [x for x in own if not x[2]]
     lists = Lists([x[3] for x in members], percent)
-    for i, _, _, s in own:
-        if sizes and root(("d", i)) == root(main):
+    for x in own:
+        parent[root(("id", x[0]))] = root(("label", x[1]))
+    edges, size, main = [], {}, None
+    for x in members:
+        r = root(("id", x[0]))
+        size[r] = size.get(r, 0) + 1
+    if not queries:
+        if len(size) < 2:
+            return []
+        held = np.repeat(np.arange(len(members)), lists.size)
+        every = lists.df[lists.list_of[np.searchsorted(lists.keys, np.concatenate([x[3] for x in members]))]]
+        typical = np.bincount(held, every) / np.maximum(lists.size, 1)
+        queries = [members[k] for k in np.argsort(-typical, kind="stable").tolist()]
+    for i, _, extra, s in queries:
+        if not extra and main is not None and root(("id", i)) == root(main):
             continue
-        for j in lists.search(s).tolist():
-            other = members[j][0]
-            if root(("d", i)) != root(("d", other)):
-                parent[root(("d", i))] = root(("d", other))
-                edges.append((i, other))
+        for m in lists.search(s):
+            a, b = root(("id", i)), root(("id", members[m][0]))
+            if a != b:
+                parent[a] = b
+                size[b] = size.get(b, 0) + size.pop(a, 0)
+                edges.append((i, members[m][0]))
+                if not extra and main is None and 2 * size[b] > len(members):
+                    main = b
     return edges
 
 
@@ -195,7 +271,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
         if len(own) > 1:
             yield ended()
 
-    rows = blocks.select("cluster", "part", "id", "label", "extra", "grams").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "extra", "id")
+    rows = blocks.select("cluster", "part", "id", "label", "extra", "grams").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -206,18 +282,19 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     shorter text is one shingle). component_id is the smallest doc_id that links reach, itself included.
 
     1. Equal sets become one representative; the members only follow it.
-    2. Representatives post the prefix of their hashes in the order of a fixed permutation. Linked sets share at least
-       EXTRA of their size in the prefixes, so a document with fewer posted shingles that another posts is left out.
-    3. Those left post all their shingles. A document with fewer than percent of them shared links with nothing. The
-       others are clustered by their rarest shingles, as many as two linked sets can't avoid to share one of; only
+    2. Documents post the prefix of their hashes in the order of a fixed permutation. Linked sets share at least
+       EXTRA of their size in the prefixes, so a document with fewer posted shingles that another set posts is left out.
+    3. The representatives left post all their shingles. One with fewer than percent of them shared links with nothing.
+       The others are clustered by their rarest shingles, as many as two linked sets can't avoid to share one of; only
        connected clusters can hold links.
-    4. A cluster is searched in one task if it is small, else in blocks with common pivots, whose links give labels;
-       then the documents outside a cluster's largest label are searched against every block. Every pair of different
-       sets is thereby decided or already connected. DivideSkip finds the members that reach the required overlap.
+    4. A cluster is searched in one task, or in blocks of BLOCK_SHINGLES with common pivots, whose links give labels;
+       then the documents outside a cluster's largest label search every other block. Every pair of different sets is
+       thereby decided or already connected. DivideSkip finds the members that reach the required overlap; no link is
+       found otherwise. Edges are at most as many as a block's rows.
 
     Null or empty texts have n_shingles 0, link with nothing and are their own component. Rows with a null doc_id get
     the component of their equal set if that has an id, else null. Repeated rows are kept; rows that share a doc_id
-    count as one node. Further columns are ignored; an empty table gives no rows.
+    count as one node. Texts of any length are taken whole. Further columns are ignored; an empty table gives no rows.
     """
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +314,21 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut = staged(rows.mapInArrow(shingles, "doc_id long, n long, h1 long, h2 long, posted array<long>"))
-    total, same = cut.count(), ["n", "h1", "h2"]
-    groups = staged(cut.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    reps = groups.select(F.col("rep").alias("doc_id"), *same)
-    kept = cut.join(reps, ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("posted").alias("gram"))
-    shared = staged(kept.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
+    same = ["n", "h1", "h2"]
+    ids = staged(cut.select("doc_id", *same))
+    total = ids.count()
+    groups = staged(ids.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    # A shingle counts as shared if different sets post it, so copies needn't be left out before.
+    kept = cut.where("n > 0").select(F.col("doc_id").alias("id"), "n", "h1", F.explode("posted").alias("gram"))
+    shared = staged(kept.groupBy("gram").agg(F.count("*").alias("df"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("gram", "df"))
     slots = slots_for(shared.count())
     slot = slot_of(F.col("gram"), slots).alias("slot")
-    posts = staged(only_marked(kept.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
-    posts = staged(join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null"))
+    posts = staged(only_marked(kept.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "h1", "gram"))
+    dropped(cut)
     need = F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * percent / 100)) + 1
-    left = staged(posts.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("id").distinct())
+    enough = join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null").groupBy("id", "n", "h1").agg(F.count("*").alias("k")).where(F.col("k") >= need)
+    left = staged(enough.join(groups.select(F.col("rep").alias("id"), "n", "h1"), ["id", "n", "h1"], "left_semi").select("id").distinct())
+    dropped(shared, posts)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(ngram)
@@ -256,47 +337,56 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
                 part = batch.slice(at, 256)
                 yield pa.record_batch([part.column(0), _lists(grams := [cut(t.as_py()) for t in part.column(1)]), pa.array([len(g) for g in grams], pa.int64())], ["id", "grams", "n"])
 
+    # A row more that only shares a filter slot does no harm, so texts aren't joined by id.
     id_slot = slot_of(F.xxhash64("id"), slots_for(left.count())).alias("slot")
     some = only_marked(rows.withColumnRenamed("doc_id", "id").select("*", id_slot), left.select(id_slot)).where("maybe")
-    full = staged(some.join(left, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, grams array<long>, n long").where("n > 0"))
+    full = staged(some.select("id", "text").mapInArrow(sets, "id long, grams array<long>, n long").where("n > 0 and id is not null"))
+    dropped(left)
     every = full.select("id", "n", F.explode("grams").alias("gram"))
     shared = staged(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
     slot = slot_of(F.col("gram"), slots_for(shared.count())).alias("slot")
-    posts = staged(only_marked(every.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
-    posts = staged(join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null"))
+    some = staged(only_marked(every.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
+    posts = join_groups(some, shared, ["gram"], "df", some.count()).where("df is not null")
     least = F.ceil(F.col("n") * percent / 100)
     rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "gram"))
     k = F.count("*").over(Window.partitionBy("id", "n"))
-    posts = posts.withColumn("k", k).withColumn("rank", rank).where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("id", "gram")
-    posts = staged(posts)
+    posts = staged(posts.withColumn("k", k).withColumn("rank", rank).where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("id", "gram"))
+    dropped(shared, some)
     heads = staged(posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1"))
-    pairs = join_groups(posts, heads, ["gram"], "df", posts.count()).where("df is not null and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    members = connected(pairs).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
-    sizes = staged(members.groupBy("cluster").agg(F.count("*").alias("size")))
-    members = staged(join_groups(members, sizes, ["cluster"], "size", members.count()))
-    found = full.join(members, "id").select("id", "cluster", "size", "grams")
-    found = staged(found.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("h", F.xxhash64(F.lit(1), "id")))
-    part = F.pmod("h", F.col("parts")).cast("int")
-    base = found.withColumn("label", F.col("id"))
-    large = base.where("parts > 1")
-    pivot_rate = F.lit(float(PIVOTS)) / F.col("size")
-    pivots = large.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < pivot_rate * (1 << 30))
-    everywhere = pivots.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where(F.col("part") != part)
-    blocks = base.withColumn("part", part).withColumn("extra", F.lit(False)).unionByName(everywhere.withColumn("extra", F.lit(False)))
-    edges = staged(_search(blocks, percent))
+    pairs = staged(join_groups(posts, heads, ["gram"], "df", posts.count()).where("df is not null and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    dropped(posts, heads)
+    nodes = connected(pairs)
+    # A cluster's size in shingles tells its number of blocks.
+    sized = full.groupBy("id").agg(F.sum("n").alias("n")).join(nodes.select(F.col("node").alias("id"), F.col("label").alias("cluster")), "id")
+    members = staged(sized)
+    dropped(pairs, nodes)
+    sizes = staged(members.groupBy("cluster").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts")))
+    placed = join_groups(members.select("id", "cluster"), sizes, ["cluster"], "size", members.count())
+    placed = staged(placed.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int")))
+    dropped(members, sizes)
+    base = placed.select("id", "cluster", "part", F.col("id").alias("label"), F.lit(False).alias("extra"))
+    large = placed.where("parts > 1")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")
+    pivots = large.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < F.lit(float(PIVOTS)) / F.col("size") * (1 << 30)).select("*", everywhere).where("to <> part")
+    blocks = base.unionByName(pivots.select("id", "cluster", F.col("to").alias("part"), F.col("id").alias("label"), F.lit(False).alias("extra")))
+    with_sets = lambda b: b.join(full.select("id", "grams"), "id")
+    edges = staged(_search(with_sets(blocks), percent))
     if not large.isEmpty():
         labels = connected(edges)
-        again = large.drop("label").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        again = staged(again)
+        again = staged(large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
         by_label = again.groupBy("cluster", "label").count()
         main = staged(by_label.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("rows")).where("labels > 1"))
-        mixed = join_groups(again, main, ["cluster"], "rows", again.count()).where("main is not null").withColumn("part", part)
-        others = mixed.where("label <> main").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).where("to <> part").withColumn("part", F.col("to")).drop("to")
-        crossed = mixed.withColumn("extra", F.lit(False)).unionByName(others.withColumn("extra", F.lit(True)))
-        edges = staged(edges.unionByName(_search(crossed, percent)))
-    labels = connected(edges).withColumnRenamed("node", "rep")
-    named = staged(groups.join(labels, "rep", "left").select(*same, "members", F.coalesce("label", "rep").alias("component")))
-    out = join_groups(cut.select("doc_id", *same), named, same, "members", total)
+        mixed = staged(join_groups(again, main, ["cluster"], "rows", again.count()).where("main is not null"))
+        others = mixed.where("label <> main").select("*", everywhere).where("to <> part")
+        columns = ["id", "cluster", "label"]
+        crossed = mixed.select(*columns, "part", F.lit(False).alias("extra")).unionByName(others.select(*columns, F.col("to").alias("part"), F.lit(True).alias("extra")))
+        first, edges = edges, staged(edges.unionByName(_search(with_sets(crossed), percent)))
+        dropped(labels, again, main, mixed, first)
+    dropped(full, placed)
+    labels = connected(edges)
+    named = staged(groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "members", F.coalesce("label", "rep").alias("component")))
+    dropped(edges, labels, groups)
+    out = join_groups(ids, named, same, "members", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

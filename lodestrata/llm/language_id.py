@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import dropped, free_name, staged, table
 from .token_counts import vocabulary_path
 
-#: Learning reads an expected number of documents a language, chosen by a hash of doc_id; languages beyond the most
-#: frequent MAX_LANGS are not learned. These bounds make the model's size and the training time fixed.
-DOCS_A_LANG, MAX_LANGS = 1500, 256
-MAX_PIECE, MAX_WORD, EM_ROUNDS = 8, 24, 2
-MEMO_WORDS = 150_000
-LETTERS = re.compile(r"[^\W\d_]+")
-
+#: Learning reads an expected number of whole documents a language, chosen by a hash of doc_id: the bound of its sample.
+DOCS_A_LANG = 1500
+#: The model has some 73 KB a language on the driver and in each worker; more languages than this are an error.
+MOST_LANGS = 4096
+MAX_PIECE, EM_ROUNDS = 8, 2
+#: Learning, not scoring, cuts longer words, so that a word's probabilities stay within a double.
+LEARNED_CHARS = 64
+#: Words that a task remembers, codes of words that are walked at once, and steps between two rescalings.
+MEMO_WORDS, BATCH_CODES, RESCALE = 150_000, 1 << 17, 16
+#: A text's log likelihood ratios are divided by its number of words, up to this: neighbouring words aren't independent.
+TEMPER = 8
+UNKNOWN = 1e-7
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 #: Letters with a column of the trie's table, those in the most pieces; the steps of all others are looked up by search.
 COLUMNS = 255
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of letters and their marks, the same for learning and scoring; marks alone are no word."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or LETTER.search(w)] if text else []
+
+
 @dataclass
 class Lattice:
     """A trie of the pieces over character codes; arrays, so that a batch of words is walked at once."""
@@ -49,12 +62,12 @@ class Lattice:
 
 
 def read_pieces(path: str) -> list[str]:
-    """Lower-case pieces of letters of the fixed vocabulary, without word marks, and all their single letters."""
+    """Lower-case pieces of letters and marks of the fixed vocabulary, without word marks, and all their single characters."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {p.id_to_piece(i).replace("▁", "").lower() for i in range(p.get_piece_size())}
-    found = {x for x in found if LETTERS.fullmatch(x) and len(x) <= MAX_PIECE}
+    found = {x for x in found if WORD.fullmatch(x) and len(x) <= MAX_PIECE}
     return sorted(found | {c for x in found for c in x})
 
 
@@ -90,7 +103,7 @@ def _add(nodes: list[dict], at: int, code: int) -> int:
 
 
 def coded(words: list[str], lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes (padded with 0) and lengths; a longer word is given in several chunks by the caller."""
+    """Character codes (padded with 0) and lengths."""
     width = max(map(len, words), default=1)
     raw = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
     top = int(raw.max(initial=0)) + 1
@@ -101,39 +114,68 @@ def coded(words: list[str], lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
     return codes[raw], np.fromiter(map(len, words), np.int64, len(words))
 
 
-def forward(codes: np.ndarray, n: np.ndarray, lattice: Lattice, logp: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """log P(word | language), words x languages, summed over every segmentation into pieces.
+def forward(codes: np.ndarray, n: np.ndarray, lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """log P(word | language), words x languages, summed over every segmentation into pieces; p has a row per piece.
 
     alpha[i] is the probability of the first i letters; each piece from i to j adds alpha[i] * p(piece). A letter that
-    no piece covers steps with the probability unknown.
+    no piece covers steps with the probability UNKNOWN. Only the next MAX_PIECE values are held, and rescaled now and
+    then, so words may have any length.
     """
+    order = np.argsort(-n, kind="stable")
+    codes, n = codes[order], n[order]
     w, width = codes.shape
-    p = np.vstack([np.exp(logp), np.zeros((1, logp.shape[1]))]).astype(np.float64)
-    alpha = np.zeros((width + 1, w, logp.shape[1]))
-    alpha[0] = 1.0
-    for i in range(width):
-        live = np.nonzero(n > i)[0]
-        node = np.zeros(len(live), np.int32)
-        single = lattice.piece[lattice.next(0, codes[live, i])] < 0
+    ring = np.zeros((MAX_PIECE + 1, w, p.shape[1]))
+    ring[0] = 1.0
+    scale, out = np.zeros((w, p.shape[1])), np.zeros((w, p.shape[1]))
+    ending = np.searchsorted(-n, -np.arange(width + 1), side="right")  # so many words have i letters at least
+    for i in range(width + 1):
+        some = ending[i]
+        alpha = ring[i % (MAX_PIECE + 1)]
+        more = ending[i + 1] if i < width else 0
+        out[more:some] = np.log(np.maximum(alpha[more:some], 1e-300)) + scale[more:some]
+        if not more:
+            break
+        if i % RESCALE == RESCALE - 1:
+            by = np.maximum(alpha[:more], 1e-300)
+            scale[:more] += np.log(by)
+            ring[:, :more] /= by
+        live, node, own = np.arange(more), np.zeros(more, np.int32), codes[:more]
+        single = lattice.piece[lattice.next(0, own[:, i])] < 0
         if single.any():
-            alpha[i + 1, live[single]] += alpha[i, live[single]] * unknown
+            ring[(i + 1) % (MAX_PIECE + 1), live[single]] += alpha[live[single]] * UNKNOWN
         for j in range(i, min(width, i + MAX_PIECE)):
             ok = j < n[live]
-            live, node = live[ok], node[ok]
-            node = lattice.next(node, codes[live, j])
+            live, node = live[ok], lattice.next(node[ok], own[live[ok], j])
             ok = node > 0
             live, node = live[ok], node[ok]
             if not len(live):
                 break
             hit = lattice.piece[node] >= 0
             at = live[hit]
-            alpha[j + 1, at] += alpha[i, at] * p[lattice.piece[node[hit]]]
-    return np.log(np.maximum(alpha[n, np.arange(w)], 1e-290))
+            ring[(j + 1) % (MAX_PIECE + 1), at] += alpha[at] * p[lattice.piece[node[hit]]]
+        ring[i % (MAX_PIECE + 1)] = 0.0
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def in_batches(words: list[str]) -> Iterator[list[int]]:
+    """Indices of words of like lengths, of about BATCH_CODES letters together."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    start = 0
+    for end in range(1, len(order) + 1):
+        if end == len(order) or (end + 1 - start) * len(words[order[end]]) > BATCH_CODES:
+            yield order[start:end]
+            start = end
 
 
-def expected_counts(codes: np.ndarray, n: np.ndarray, weight: np.ndarray, lattice: Lattice, p: np.ndarray, unknown: float) -> np.ndarray:
-    """Expected uses of every piece over all segmentations of the weighted words (one language), forward-backward."""
+def expected_counts(codes: np.ndarray, n: np.ndarray, weight: np.ndarray, lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece over all segmentations of the weighted words (one language), forward-backward.
+
+    Each letter counts with a factor that makes its word's probability 1; the factors of a word's segmentations are equal.
+    """
     w, width = codes.shape
+    factor = np.exp(-forward(codes, n, lattice, p[:, None])[:, 0] / np.maximum(n, 1))
     alpha, beta = np.zeros((width + 1, w)), np.zeros((width + 2, w))
     alpha[0] = 1.0
     beta[n, np.arange(w)] = 1.0
@@ -142,8 +184,8 @@ def expected_counts(codes: np.ndarray, n: np.ndarray, weight: np.ndarray, lattic
         live = np.nonzero(n > i)[0]
         node = np.zeros(len(live), np.int32)
         single = live[lattice.piece[lattice.next(0, codes[live, i])] < 0]
-        alpha[i + 1, single] += alpha[i, single] * unknown
-        arcs.append((i, i, single, None))
+        alpha[i + 1, single] += alpha[i, single] * UNKNOWN * factor[single]
+        arcs.append((i, i, single, None, UNKNOWN * factor[single]))
         for j in range(i, min(width, i + MAX_PIECE)):
             ok = j < n[live]
             live, node = live[ok], node[ok]
@@ -154,95 +196,108 @@ def expected_counts(codes: np.ndarray, n: np.ndarray, weight: np.ndarray, lattic
                 break
             hit = lattice.piece[node] >= 0
             at, k = live[hit], lattice.piece[node[hit]]
-            alpha[j + 1, at] += alpha[i, at] * p[k]
-            arcs.append((i, j, at, k))
-    for i, j, at, k in reversed(arcs):
-        beta[i, at] += beta[j + 1, at] * (unknown if k is None else p[k])
+            step = p[k] * factor[at] ** (j + 1 - i)
+            alpha[j + 1, at] += alpha[i, at] * step
+            arcs.append((i, j, at, k, step))
+    for i, j, at, _, step in reversed(arcs):
+        beta[i, at] += beta[j + 1, at] * step
     z = np.maximum(alpha[n, np.arange(w)], 1e-290)
     out = np.zeros(len(p))
-    for i, j, at, k in arcs:
+    for i, j, at, k, step in arcs:
         if k is not None:
-            out += np.bincount(k, alpha[i, at] * p[k] * beta[j + 1, at] / z[at] * weight[at], len(p))
+            out += np.bincount(k, alpha[i, at] * step * beta[j + 1, at] / z[at] * weight[at], len(p))
     return out
 
 
-def _chunks(word: str) -> list[str]:
-    return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
-
-
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None, docs_a_lang: int = DOCS_A_LANG) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities pieces x languages) from rows with a language; docs holds training rows only.
 
-    Piece probabilities start from the counts of all occurrences of a piece and are refined by EM over the sampled
-    words; longer words are learned in the chunks that identify() scores. The words reach the driver as (lang, word, count) sums of a bounded sample of documents.
+    Of each language an expected docs_a_lang documents are learned from, whole. Every piece starts equally likely;
+    EM_ROUNDS of EM follow, whose expected counts the workers sum: only the model, pieces x languages, reaches the
+    driver. All languages are learned; over MOST_LANGS raise an error.
     """
-    pieces = read_pieces(path or vocabulary_path())
-    lattice = build_lattice(pieces)
-    sizes = {r.lang: r.n for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    spark, where = docs.sparkSession, path or vocabulary_path()
+    n_pieces = len(read_pieces(where))
+    sizes = {r.lang: r.n for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((lattice.n_pieces, 0))
-    rate = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_a_lang / sizes[k])))))
-    u = F.pmod(F.xxhash64(F.lit(10), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = docs.where(F.col(lang).isin(langs) & (u < rate[F.col(lang)])).select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"))
-    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word"))
-    words = words.select("lang", F.explode(F.expr(f"transform(sequence(0, (length(word) - 1) div {MAX_WORD}), i -> substring(word, cast(i * {MAX_WORD} + 1 as int), {MAX_WORD}))")).alias("word"))
-    # The most frequent words reach the driver, a fixed number.
-    best = words.groupBy("lang", "word").count()
-    rows = best.withColumn("u", F.pmod(F.xxhash64("word"), F.lit(1000))).orderBy(F.desc("count"), "u", "word").limit(60_000 * len(langs)).toPandas()
-    logp = np.zeros((lattice.n_pieces, len(langs)))
-    for k, name in enumerate(langs):
-        own = rows[rows["lang"] == name]
-        p = np.full(lattice.n_pieces, 1.0 / lattice.n_pieces)
-        if len(own):
-            codes, n = coded(list(own["word"]), lattice)
-            weight = own["count"].to_numpy(float)
-            for _ in range(EM_ROUNDS):
-                c = expected_counts(codes, n, weight, lattice, p, 1e-7) + 0.05
-                p = c / c.sum()
-        logp[:, k] = np.log(p)
-    return langs, logp
-
+        return [], np.zeros((n_pieces, 0))
+    rates = spark.createDataFrame([(k, min(1.0, docs_a_lang / sizes[k])) for k in langs], "lang string, rate double")
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(10), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("u"))
+    sample = rows.join(F.broadcast(rates), "lang").where("u < rate").select("lang", "text")
 
-def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred, score.
-
-    score is the posterior of the predicted language (equal priors) with the log likelihood ratio tempered to 1/8,
-    since pieces aren't independent. Every distinct word of a batch goes through the forward algorithm once, a bounded memo
-    keeps its log probabilities, and a text's score is the sum over all its words. `und` with score 0 if the text is
-    null or has no letter, or if no language was learned. Ties go to the first language in order. Words longer than
-    MAX_WORD letters are scored in chunks of MAX_WORD letters, all of them. Repeated rows are scored each; further columns are ignored.
-    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: dict[tuple[str, str], int] = {}
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for word in words_of(t.as_py()):
+                    for at in range(0, len(word), LEARNED_CHARS):
+                        key = (k, word[at : at + LEARNED_CHARS])
+                        count[key] = count.get(key, 0) + 1
+            a, b = zip(*count) if count else ((), ())
+            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(count.values(), pa.int64())], ["lang", "word", "n"])
+
+    words = staged(sample.mapInArrow(cut, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    at = {k: i for i, k in enumerate(langs)}
+    p = np.full((n_pieces, len(langs)), 1.0 / n_pieces)
+    for _ in range(EM_ROUNDS):
+        model = spark.sparkContext.broadcast(p)
+
+        def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            lattice, p, total = build_lattice(read_pieces(where)), model.value, {}
+            for batch in batches:
+                own: dict[str, list] = {}
+                for k, word, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    own.setdefault(k, []).append((word, n))
+                for k, some in own.items():
+                    found = [x for x, _ in some]
+                    for part in in_batches(found):
+                        codes, n = coded([found[i] for i in part], lattice)
+                        got = expected_counts(codes, n, np.array([some[i][1] for i in part], float), lattice, np.ascontiguousarray(p[:, at[k]]))
+                        total[k] = total.get(k, 0.0) + got
+            for k, got in total.items():
+                piece = np.nonzero(got)[0]
+                yield pa.record_batch([pa.array([at[k]] * len(piece), pa.int32()), pa.array(piece, pa.int32()), pa.array(got[piece])], ["lang", "piece", "c"])
+
+        counts = words.mapInArrow(expect, "lang int, piece int, c double").groupBy("lang", "piece").agg(F.sum("c").alias("c")).toPandas()
+        p = np.full((n_pieces, len(langs)), 0.05)
+        np.add.at(p, (counts["piece"].to_numpy(), counts["lang"].to_numpy()), counts["c"].to_numpy())
+        p /= p.sum(axis=0)
+        model.unpersist()
+    dropped(words)
+    return langs, np.log(p)
+
+
+def labelled(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "text", path: str | None = None) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, the predicted language and its score, and the names of these (free ones)."""
     where = path or vocabulary_path()
-    model = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))  # pieces x MAX_LANGS at most
-    letters = re.compile(r"[^\W\d_]+")
+    model = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+    column = docs.columns.index(text)
+    names = [free_name("lang_pred", docs.columns), free_name("score", docs.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = build_lattice(read_pieces(where))
-        lp = model.value
-        unknown = np.full(lp.shape[1], 1e-7)
+        p = np.exp(model.value.astype(np.float64))
         memo: dict[str, int] = {}
-        known = np.zeros((0, lp.shape[1]))
+        known = np.zeros((4096, p.shape[1]))
         for batch in batches:
             preds, scores = [], []
-            column = batch.column(1)
-            for at in range(0, len(column), 64):
-                texts = [(t.as_py() or "").lower() for t in column[at : at + 64]]
-                words = [letters.findall(t) for t in texts]
-                if not lp.shape[1]:
-                    preds += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
+            for at in range(0, batch.num_rows, 64):
+                words = [words_of(t.as_py()) for t in batch.column(column)[at : at + 64]]
+                if not langs:
+                    words = [[] for _ in words]
                 if len(memo) > MEMO_WORDS:
-                    memo, known = {}, np.zeros((0, lp.shape[1]))
-                fresh = [w for w in dict.fromkeys(w for own in words for w in own) if w not in memo]
-                if fresh:
-                    parts = [_chunks(w) for w in fresh]
-                    codes, n = coded([c for own in parts for c in own], lattice)
-                    got = np.vstack([forward(codes[i : i + 4096], n[i : i + 4096], lattice, lp, unknown) for i in range(0, len(n), 4096)])
-                    starts = np.concatenate([[0], np.cumsum([len(own) for own in parts])[:-1]]).astype(int)
-                    known = np.vstack([known, np.add.reduceat(got, starts, axis=0)])
-                    memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh))))
+                    memo.clear()
+                fresh = list(dict.fromkeys(w for own in words for w in own if w not in memo))
+                while len(memo) + len(fresh) > len(known):
+                    known = np.vstack([known, np.zeros_like(known)])
+                for part in in_batches(fresh):
+                    codes, n = coded([fresh[i] for i in part], lattice)
+                    known[len(memo) : len(memo) + len(part)] = forward(codes, n, lattice, p)
+                    for i in part:
+                        memo[fresh[i]] = len(memo)
                 for own in words:
                     if not own:
                         preds.append("und")
@@ -251,11 +306,25 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str =
                     total = known[np.fromiter(map(memo.__getitem__, own), np.int64, len(own))].sum(axis=0)
                     best = int(total.argmax())
                     preds.append(langs[best])
-                    scores.append(float(1.0 / np.exp((total - total[best]) / 8).sum()))
-            yield pa.record_batch([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                    scores.append(float(1.0 / np.exp((total - total[best]) / min(TEMPER, len(own))).sum()))
+            yield pa.record_batch([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(run, schema), names[0], names[1]
+
+
+def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, lang_pred, score.
+
+    score is the posterior of the predicted language (equal priors) with the log likelihood ratios divided by the number
+    of words, up to TEMPER, since words aren't independent. Every distinct word of a batch goes through the forward
+    algorithm once, a bounded memo keeps its log probabilities, and a text's score is the sum over all its words; words
+    of any length are scored whole. `und` with score 0 if the text is null, empty or has no letter, or if no language
+    was learned. Ties go to the first language in order. Repeated rows and null ids are scored each; further columns
+    are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return labelled(rows, langs, logp, path=path)[0].select("doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -86,22 +86,59 @@ def test_jaccard_against_all_pairs(spark, docs):
 
 
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 600)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base[: 60 + k]) for k in range(60)] + [" ".join(base[::-1][: 60 + 2 * k]) for k in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in jaccard_join.jaccard_components(df, 4, 85).collect()} == {0, 60}
 
 
-def test_divide_skip_counts():
+def _shares(a, b, percent):
     import numpy as np
 
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("entries, few", [(1 << 20, 1 << 20), (1 << 20, 0), (0, 0)])
+def test_divide_skip_finds_all_links(monkeypatch, entries, few):
+    """By the heap and one by one, by the heap and together, and by counting: the members of enough overlap, no others."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "HEAP_ENTRIES", entries)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.choice(60, 40)).astype(np.uint64) for _ in range(80)]
-    lists = jaccard_join.Lists(sets, 60)
-    for s in sets:
-        want = [j for j, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t))]
-        assert lists.search(s).tolist() == want
+    sets = sorted((np.unique(rng.choice(60, rng.integers(15, 60))).astype(np.uint64) for _ in range(80)), key=len)
+    for percent in (40, 60, 85):
+        lists = jaccard_join.Lists(sets, percent)
+        for s in sets:
+            assert sorted(lists.search(s)) == [j for j, t in enumerate(sets) if _shares(s, t, percent)]
+
+
+def test_heap_merge_skips():
+    lists, weights = [[1, 5, 9, 12], [2, 5, 12], [3, 4, 5, 6, 7, 8, 12]], [2, 1, 1]
+    want = {}
+    for own, w in zip(lists, weights):
+        for x in own:
+            want[x] = want.get(x, 0) + w
+    for least in range(1, 6):
+        assert jaccard_join.heap_merge(lists, weights, 0, 100, least) == {k: v for k, v in want.items() if v >= least}
+    assert jaccard_join.heap_merge(lists, weights, 5, 12, 3) == {5: 4}
+
+
+def test_every_link_comes_from_a_search(monkeypatch):
+    """Near copies take few searches; documents of one passage and own words, none linked, are each searched, in linear rows."""
+    import numpy as np
+
+    rng, searched = np.random.default_rng(3), []
+    plain = jaccard_join.Lists.search
+    monkeypatch.setattr(jaccard_join.Lists, "search", lambda self, q: searched.append(1) or plain(self, q))
+    base, own = rng.integers(0, 1 << 62, 200).astype(np.uint64), lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    near = [(i, i, False, np.unique(np.where(rng.random(200) < 0.03, own(200), base))) for i in range(500)]
+    assert len(jaccard_join.search_block(near, 85)) == 499 and 0 < len(searched) < 50
+    searched.clear()
+    apart = [(i, i, False, np.unique(np.concatenate([base[:90], own(10)]))) for i in range(10_000)]
+    assert jaccard_join.search_block(apart, 85) == [] and len(searched) == 10_000
 
 
 def test_decontamination_finds_edited_copies(spark):
@@ -130,7 +167,7 @@ def test_decontamination_loses_no_alignment():
     items = decontamination.Items([(k, " ".join(w)) for k, w in enumerate(texts)])
     edited = 0
     for k, d in enumerate(docs):
-        ids = items.number(" ".join(d))
+        ids = items.number(d)
         want = {i: score / (2 * len(w)) for i, w in enumerate(items.words) if (score := decontamination.align(w, ids)[0]) >= max(12, len(w))}
         assert {i: s for i, s, _ in decontamination.matches(" ".join(d), items)} == want
         edited += k < 200 and k // 5 in want
@@ -257,11 +294,47 @@ def test_forward_sums_all_segmentations():
     import numpy as np
 
     lattice = language_id.build_lattice(["a", "ab", "b", "ba", "aba"])
-    p = np.log(np.array([[0.3], [0.2], [0.2], [0.1], [0.2]]))
+    p = np.array([[0.3], [0.2], [0.2], [0.1], [0.2]])
     codes, n = language_id.coded(["aba", "b"], lattice)
-    at = {x: float(np.exp(p[i, 0])) for i, x in enumerate(["a", "ab", "b", "ba", "aba"])}
+    at = {x: float(p[i, 0]) for i, x in enumerate(["a", "ab", "b", "ba", "aba"])}
     want = at["a"] * at["b"] * at["a"] + at["ab"] * at["a"] + at["a"] * at["ba"] + at["aba"]
-    assert np.allclose(np.exp(language_id.forward(codes, n, lattice, p, np.array([1e-7])))[:, 0], [want, at["b"]])
+    assert np.allclose(np.exp(language_id.forward(codes, n, lattice, p))[:, 0], [want, at["b"]])
+
+
+def test_forward_on_long_words():
+    """Words of up to 3000 letters against the sum over all segmentations by whole numbers, without cuts."""
+    import math
+    import random
+    from fractions import Fraction
+
+    import numpy as np
+
+    pieces = ["a", "ab", "b", "ba", "aba", "bbb", "abababab"]
+    lattice, rng = language_id.build_lattice(pieces), random.Random(1)
+    p = np.array([[0.25, 0.1], [0.125, 0.2], [0.25, 0.3], [0.0625, 0.1], [0.0625, 0.1], [0.125, 0.1], [0.125, 0.1]])
+    words = ["".join(rng.choice("abx" if k % 2 else "ab") for _ in range(n)) for k, n in enumerate((1, 7, 40, 41, 300, 3000))]
+    got = [None] * len(words)
+    for part in language_id.in_batches(words):
+        codes, n = language_id.coded([words[i] for i in part], lattice)
+        for i, row in zip(part, language_id.forward(codes, n, lattice, p)):
+            got[i] = row
+    for word, row in zip(words, got):
+        for col in range(2):
+            alpha = [Fraction(1)]
+            for j in range(1, len(word) + 1):
+                total = sum((alpha[j - len(x)] * Fraction(p[k, col]) for k, x in enumerate(pieces) if word[:j].endswith(x)), Fraction(0))
+                alpha.append(total if word[j - 1] != "x" else total + alpha[j - 1] * Fraction(language_id.UNKNOWN))
+            z = alpha[-1]
+            assert abs(row[col] - (math.log(z.numerator) - math.log(z.denominator))) < 1e-6 * len(word)
+
+
+def test_words_are_cut_alike(spark):
+    """Numbers that aren't letters give no language; Indic words keep their signs, in learning and in scoring."""
+    assert language_id.words_of("½ ² ① Ⅷ 12 ́ !") == [] and language_id.words_of("हिन्दी x²") == ["हिन्दी", "x"]
+    train = spark.createDataFrame([(i, t, k) for k, t in (("hi", "हिन्दी भाषा में लिखा हुआ है"), ("en", "written in the english language")) for i in range(5)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "½"), (2, "हिन्दी में"), (3, "the language"), (4, "Ⅷ ①"), (5, None), (None, "english"), (7, "ab" * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(asked, *language_id.train(train)).collect()}
+    assert {k: r.lang_pred for k, r in got.items() if k != 7} == {1: "und", 2: "hi", 3: "en", 4: "und", 5: "und", None: "en"} and got[7].lang_pred in ("hi", "en")
 
 
 def test_sql_twins(spark):
@@ -286,6 +359,6 @@ def test_broadcast_items_need_no_package(tmp_path):
 
     from lodestrata.llm.decontamination import Items
 
-    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read()).number('b a').tolist())"
-    found = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(Items([(1, "a b c d")])), capture_output=True, cwd=tmp_path)
+    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read()).number(['b', 'a']).tolist())"
+    found = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(Items([(1, "a b c d e f")])), capture_output=True, cwd=tmp_path)
     assert found.stdout.split() == [b"[2,", b"1]"], found.stderr

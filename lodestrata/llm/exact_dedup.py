@@ -12,11 +12,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the largest doc_id stays.
-    First pass: every text's hash sets a slot of a counting filter; slots set at least twice become bitmaps of a
-    bounded size. Second pass: rows whose slot is not marked are certainly unique and pass straight through; only
-    marked digests (never texts) shuffle. A filter too small for its input marks more rows and is still right.
+    First pass: every text's hash sets a slot of a filter. Tasks count their slots before they shuffle, 12 bytes for each
+    that a task has set, and those set at least twice become bitmaps of a bounded size. Second pass: rows whose slot is
+    not marked are certainly unique and pass straight through; only marked digests (never texts) shuffle. A filter too
+    small for its input marks more rows and is still right.
 
-    Null doc_id: the row belongs to its group, never becomes keep_id unless all ids of the group are null (keep_id is
+    Empty texts and texts of any length are like others. Null doc_id: the row belongs to its group, never becomes keep_id unless all ids of the group are null (keep_id is
     then null, kept false). Repeated rows (same doc_id and text) share their values of kept. An empty table gives no
     rows. Further columns are ignored.
     """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_groups, staged, table, unit
+from .common import WORD, dropped, join_groups, staged, table, unit
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Offsets that a source tries.
@@ -17,21 +17,31 @@ OFFSETS = 32
 def plan_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sources(nosrc, source, source_size, n): adds target, the water level over capped weights.
 
-    Sorted by cap per weight, a source is capped if the level over the sources not capped before it reaches its cap;
-    the excess is thereby reshared by weight until no target is above its cap.
+    Sources are numbered in order by range partitions and the counts of the partitions before, so that no task holds them
+    all. The level starts as if no source were capped; those whose cap it reaches are capped and the rest share what is
+    left, until no more are. Only sums reach the driver.
     """
-    every = Window.orderBy("nosrc", "source")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
-    all_rows = Window.partitionBy()
-    by = Window.orderBy("ratio", "nosrc", "source")
-    s = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    s = s.withColumn("budget", F.sum("source_size").over(all_rows) * F.lit(share)).withColumn("w_all", F.sum("w").over(all_rows))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("level_here", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("w_all") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("capped", F.col("level_here") >= F.col("ratio"))
-    capped, free = F.when(F.col("capped"), F.col("cap")).otherwise(0.0), F.when(F.col("capped"), 0.0).otherwise(F.col("w"))
-    s = s.withColumn("level", (F.col("budget") - F.sum(capped).over(all_rows)) / F.nullif(F.sum(free).over(all_rows), F.lit(0.0)))
-    return s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * F.col("level"))).select("nosrc", "source", "source_size", "n", "target")
+    part, line = F.spark_partition_id(), F.monotonically_increasing_id()
+    ordered = staged(sources.repartitionByRange("nosrc", "source").sortWithinPartitions("nosrc", "source").withColumn("part", part).withColumn("line", F.shiftright(F.shiftleft(line, 31), 31)))
+    before, starts = 0, []
+    for r in ordered.groupBy("part").count().orderBy("part").collect():  # a row per partition
+        starts.append((r.part, before))
+        before += r["count"]
+    spark = sources.sparkSession
+    rank = F.col("start") + F.col("line")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    s = ordered.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").withColumn("w", w).drop("part", "line", "start")
+    s = staged(s.withColumn("cap", F.col("source_size") * F.lit(most)))
+    dropped(ordered)
+    budget, w_all = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * share, F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level, capped = (budget / w_all if w_all else 0.0), -1
+    while True:
+        reached = F.col("cap") <= F.lit(level) * F.col("w")
+        n, cap, w_capped = s.where(reached).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if n == capped or w_capped >= w_all:
+            break
+        capped, level = n, (budget - cap) / (w_all - w_capped)
+    return s.withColumn("target", F.when(reached, F.col("cap")).otherwise(F.col("w") * F.lit(level))).select("nosrc", "source", "source_size", "n", "target")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
@@ -52,11 +62,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = staged(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.isnull(source).cast("int").alias("nosrc"), size.alias("size"), unit(F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("u")))
     stats = rows.groupBy("nosrc", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    per_bin = F.greatest(F.lit(256), F.ceil(F.sum("n").over(Window.partitionBy()) / 65536)).cast("long")
-    plan = staged(plan_targets(stats, weights, share, most).withColumn("bins", F.ceil(F.col("n") / per_bin).cast("long")))
     keys, total = ["nosrc", "source"], rows.count()
-    rows = join_groups(rows, plan, keys, "n", total).withColumn("bin", F.floor(F.col("u") * F.col("bins")).cast("long"))
-    rows = staged(rows)
+    per_bin = max(256, -(-total // 65536))
+    plan = staged(plan_targets(stats, weights, share, most).withColumn("bins", F.ceil(F.col("n") / per_bin).cast("long")))
+    sized, rows = rows, staged(join_groups(rows, plan, keys, "n", total).withColumn("bin", F.floor(F.col("u") * F.col("bins")).cast("long")))
+    dropped(sized, plan)
+    binned = rows
     in_source = Window.partitionBy("nosrc", "source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy("nosrc", "source", "bin").agg(F.count("*").alias("n_bin")).withColumn("before", F.coalesce(F.sum("n_bin").over(in_source), F.lit(0))).drop("n_bin")
     rank = F.row_number().over(Window.partitionBy("nosrc", "source", "bin").orderBy("size", "doc_id"))
@@ -65,6 +76,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     start = unit(F.lit(str(seed)), F.lit("offset"), F.col("nosrc").cast("string"), F.col("source"))
     copies = lambda o: (F.floor(F.col("rank") * F.col("rate") + o) - F.floor((F.col("rank") - 1) * F.col("rate") + o)).cast("long")
     rows = staged(rows.withColumn("rate", rate).withColumn("start", start).select("nosrc", "source", "doc_id", "size", "source_size", "target", "rate", "start", "rank"))
+    dropped(binned)
     rotated = [F.col("start") + F.lit(k / OFFSETS) for k in range(OFFSETS)]
     misses = [F.struct(F.abs(F.sum(F.col("size") * copies(o)) - F.first("target")).alias("miss"), F.lit(k / OFFSETS).alias("turn")) for k, o in enumerate(rotated)]
     best = staged(rows.groupBy("nosrc", "source").agg(F.array_min(F.array(*misses))["turn"].alias("turn"), F.count("*").alias("n")))

@@ -10,29 +10,33 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
+#: Ranges are RANGES_PER_SHARD a shard, or more: one per ROWS_PER_RANGE rows, up to MOST_RANGES, whose plan the driver holds.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE = 64, 8
+ROWS_PER_RANGE, MOST_RANGES = 200_000, 1 << 16
 
 
 def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size: UTF-8 bytes of the text plus 8 (8 for a null text). The sort key is the 64-bit hash of the text, so that equal texts fall into one range. A
-    sample of keys, weighted by size and of a bounded expected number (shards * RANGES_PER_SHARD * SAMPLES_PER_RANGE
-    longs), gives the quantile boundaries of shards * RANGES_PER_SHARD ranges; all records are range-partitioned by
-    them and the ranges measured exactly. Overfull ranges are subdivided into cells by doc_id, so no range is worked
-    on in one task. Ranges go to the shards largest first, each to the emptiest shard. The cells of a range stay
-    together, so equal texts share a shard, unless the range alone exceeds a whole shard: its cells are then placed
-    one by one, for near equal sizes. Slots count from 0 without gap in each shard, by cell and then (key, doc_id).
+    sample of keys, weighted by size and of a bounded expected number (SAMPLES_PER_RANGE longs a range), gives the
+    quantile boundaries of the ranges, whose number grows with the rows; all records are range-partitioned by them and
+    the ranges measured exactly. Overfull ranges are subdivided into cells by doc_id, so no range is worked on in one
+    task. Ranges go to the shards largest first, each to the emptiest shard: a shard is a set of key ranges, not one. The
+    cells of a range stay together, so equal texts share a shard, unless the range alone exceeds a whole shard: its cells
+    are then placed one by one, for near equal sizes. Slots count from 0 without gap in each shard, by cell and then
+    (key, doc_id).
 
-    Null text: size 8, checksum of the empty text. Repeated rows are kept, in neighbouring slots. Null doc_id counts
-    as the smallest. An empty table gives no rows; further columns are ignored. Reruns agree.
+    Null and empty texts: size 8, checksum of the empty text. Texts of any length are taken whole. Repeated rows are
+    kept, in neighbouring slots. Null doc_id counts as the smallest. An empty table gives no rows; further columns are
+    ignored. Reruns agree.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = staged(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), F.xxhash64(body).alias("key"), F.xxhash64(F.lit(3), F.col(doc_id), body).alias("h")))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not total:
         return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    ranges = shards * RANGES_PER_SHARD
+    ranges = max(shards * RANGES_PER_SHARD, min(MOST_RANGES, n_rows // ROWS_PER_RANGE))
     want = ranges * SAMPLES_PER_RANGE
     x = F.col("size") * F.lit(want / total)
     copies = F.floor(x + F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)))
@@ -41,7 +45,7 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     drawn, upto, bounds = sum(c for _, c in sample), 0, []
     for key, c in sample:
         upto += c
-        while bounds.__len__() < ranges - 1 and upto >= (len(bounds) + 1) * drawn / ranges:
+        while len(bounds) < ranges - 1 and upto >= (len(bounds) + 1) * drawn / ranges:
             bounds.append(key)
     bounds = sorted(set(bounds))
     # A key's range is the number of boundaries below it; a small table by the key's first 12 bits holds the few that can matter.
@@ -52,7 +56,6 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     top = (F.shiftright("key", 52) + 2048).cast("int")
     ranged = rows.withColumn("top", top).join(lookup, "top").withColumn("range", F.col("base") + F.expr("size(filter(bounds, b -> b < key))")).drop("top", "base", "bounds")
     even = F.lit(2.0 * total / ranges)
-    n_rows = rows.count()
     sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     cells_of = F.greatest(F.ceil(F.col("bytes") / even), F.ceil(F.col("n") / F.lit(max(1.0, 2.0 * n_rows / ranges)))).cast("long")
     split = spark.createDataFrame([tuple(r) for r in sizes.select("range", cells_of.alias("cells")).where("cells > 1").collect()], "range int, cells long")

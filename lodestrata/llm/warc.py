@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import join_groups, shared_dir, staged, table
+from .common import dropped, join_groups, only_marked, shared_dir, slot_of, slots_for, staged, table
 
 SCHEMA = "page_id long, record_type string, target_uri string, refers_to long, header_digest string, header_bytes long, payload_bytes long, payload_digest string, payload binary"
 #: Predicates on these columns are decided from a record's header alone.
@@ -258,23 +258,29 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Of records with equal payloads (the html in UTF-8, null: empty) of LEAST_REVISITED bytes or more, that with the
     smallest page_id is a response and the others revisit it; smaller payloads are all responses. Repeated rows (same
     page_id and payload) are alike; rows of a null page_id are responses unless another page has their payload. Only
-    digests are grouped; html is joined with the list of revisits alone.
+    digests are grouped; a filter of the revisits' page_id and digest, of bounded size, picks the rows that are joined with their
+    list, and all other html is written where it is read.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     digests = staged(rows.where(F.col("payload_bytes") >= LEAST_REVISITED).select("page_id", "sha"))
+    total = digests.count()
     groups = staged(digests.groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null"))
-    later = staged(join_groups(digests, groups, ["sha"], "n", digests.count()).where("n is not null and not page_id <=> first").select("page_id", "sha", "first").distinct())
-    kept = rows.alias("r").join(later.alias("l"), F.col("r.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("r.sha") == F.col("l.sha")), "left")
+    later = staged(join_groups(digests, groups, ["sha"], "n", total).where("n is not null and not page_id <=> first").select("page_id", "sha", "first").distinct())
+    slot = slot_of(F.xxhash64("page_id", "sha"), slots_for(later.count())).alias("slot")
+    marked = only_marked(rows.select("*", slot), later.select(slot))
+    some = marked.where("maybe").alias("r").join(later.alias("l"), F.col("r.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("r.sha") == F.col("l.sha")), "left").select("r.*", "first")
+    kept = marked.where("not maybe").withColumn("first", F.lit(None).cast(later.schema["first"].dataType)).unionByName(some)
     out = kept.select(
-        "r.page_id", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), "target_uri", F.col("first").alias("refers_to"),
-        F.lower(F.hex("r.sha")).alias("payload_digest"), "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"),
+        "page_id", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), "target_uri", F.col("first").alias("refers_to"),
+        F.lower(F.hex("sha")).alias("payload_digest"), "payload_bytes", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"),
     )
     register(pages.sparkSession)
     names = ["page_id", "record_type", "target_uri", "refers_to", "header_digest", "header_bytes", "payload_bytes", "payload_digest", "payload"]
     out = out.withColumn("header_digest", F.col("payload_digest")).withColumn("header_bytes", F.col("payload_bytes")).select(*names)
     out.write.format("warc").mode("append").save(folder)
+    dropped(digests, groups, later)
 
 
 def read_archive(spark: SparkSession, folder: str, payload: str = "digest") -> DataFrame:

@@ -230,19 +230,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
+def _holds_none(block):
+    """A predicate on texts: whether the text holds no copy of an item of the block."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = pickle.loads(block.value)
+        for column in texts:
+            yield pa.array([not matches(t.as_py() or "", items) for t in column], pa.bool_())
+
+    return clean
+
+
 def without_copies(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no copy of an item in the sense of decontaminate(); each row is decided in
-    place, in one scan for all blocks of items. Null and empty texts stay."""
-    column = docs.columns.index(text)
+    place, in one scan for all blocks of items, and only texts go to the workers. Null and empty texts stay."""
     out = docs
     for block in _blocks(benchmark, item_id, item_text)[0]:
-
-        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items = pickle.loads(block.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not matches(t.as_py() or "", items) for t in batch.column(column)], pa.bool_()))
-
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.where(_holds_none(block)(F.col(text)))
     return out
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD, connected, dropped, join_groups, only_marked, slot_of, slots_for, staged, table
 
 #: Shingles that a block of a cluster holds at most, about: a larger cluster is searched in several blocks.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 #: Documents of a large cluster that every block of it holds, to connect what the blocks find.
 PIVOTS = 16
 #: DivideSkip's weight of the longest list against the number set aside, and the entries up to which the short lists go
@@ -31,6 +31,10 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _words = re.compile(WORD).findall
 
 
+#: Words whose hashes a task remembers.
+MEMO_WORDS = 150_000
+
+
 class _Hashes(dict):
     """Word -> 64-bit hash, filled on demand."""
 
@@ -50,7 +54,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
         h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))

@@ -10,9 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import dropped, free_name, staged, table
+from .common import dropped, staged, table
 from .token_counts import vocabulary_path
 
 #: Learning reads an expected number of whole documents a language, chosen by a hash of doc_id: the bound of its sample.
@@ -22,8 +21,8 @@ MOST_LANGS = 4096
 MAX_PIECE, EM_ROUNDS = 8, 2
 #: Learning, not scoring, cuts longer words, so that a word's probabilities stay within a double.
 LEARNED_CHARS = 64
-#: Words that a task remembers, codes of words that are walked at once, and steps between two rescalings.
-MEMO_WORDS, BATCH_CODES, RESCALE = 150_000, 1 << 17, 16
+#: Words that a task remembers, numbers that it holds for words walked at once, and steps between two rescalings.
+MEMO_WORDS, BATCH_CELLS, RESCALE = 100_000, 1 << 19, 16
 #: A text's log likelihood ratios are divided by its number of words, up to this: neighbouring words aren't independent.
 TEMPER = 8
 UNKNOWN = 1e-7
@@ -159,12 +158,12 @@ def forward(codes: np.ndarray, n: np.ndarray, lattice: Lattice, p: np.ndarray) -
     return back
 
 
-def in_batches(words: list[str]) -> Iterator[list[int]]:
-    """Indices of words of like lengths, of about BATCH_CODES letters together."""
+def in_batches(words: list[str], letters: int) -> Iterator[list[int]]:
+    """Indices of words of like lengths, of about so many letters together."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     start = 0
     for end in range(1, len(order) + 1):
-        if end == len(order) or (end + 1 - start) * len(words[order[end]]) > BATCH_CODES:
+        if end == len(order) or (end + 1 - start) * len(words[order[end]]) > letters:
             yield order[start:end]
             start = end
 
@@ -253,7 +252,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     own.setdefault(k, []).append((word, n))
                 for k, some in own.items():
                     found = [x for x, _ in some]
-                    for part in in_batches(found):
+                    for part in in_batches(found, BATCH_CELLS // MAX_PIECE):
                         codes, n = coded([found[i] for i in part], lattice)
                         got = expected_counts(codes, n, np.array([some[i][1] for i in part], float), lattice, np.ascontiguousarray(p[:, at[k]]))
                         total[k] = total.get(k, 0.0) + got
@@ -270,47 +269,46 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return langs, np.log(p)
 
 
-def labelled(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "text", path: str | None = None) -> tuple[DataFrame, str, str]:
-    """docs with two columns more, the predicted language and its score, and the names of these (free ones)."""
-    where = path or vocabulary_path()
-    model = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
-    column = docs.columns.index(text)
-    names = [free_name("lang_pred", docs.columns), free_name("score", docs.columns)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = build_lattice(read_pieces(where))
-        p = np.exp(model.value.astype(np.float64))
-        memo: dict[str, int] = {}
-        known = np.zeros((4096, p.shape[1]))
-        for batch in batches:
-            preds, scores = [], []
-            for at in range(0, batch.num_rows, 64):
-                words = [words_of(t.as_py()) for t in batch.column(column)[at : at + 64]]
-                if not langs:
-                    words = [[] for _ in words]
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                fresh = list(dict.fromkeys(w for own in words for w in own if w not in memo))
-                while len(memo) + len(fresh) > len(known):
-                    known = np.vstack([known, np.zeros_like(known)])
-                for part in in_batches(fresh):
-                    codes, n = coded([fresh[i] for i in part], lattice)
-                    known[len(memo) : len(memo) + len(part)] = forward(codes, n, lattice, p)
-                    for i in part:
-                        memo[fresh[i]] = len(memo)
-                for own in words:
-                    if not own:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = known[np.fromiter(map(memo.__getitem__, own), np.int64, len(own))].sum(axis=0)
-                    best = int(total.argmax())
-                    preds.append(langs[best])
-                    scores.append(float(1.0 / np.exp((total - total[best]) / min(TEMPER, len(own))).sum()))
-            yield pa.record_batch([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
-
-    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(run, schema), names[0], names[1]
+class Scorer:
+    """Texts -> (predicted language, score), with a bounded memo of words; made once a task."""
+
+    def __init__(self, langs: list[str], logp: np.ndarray, path: str):
+        self.langs, self.lattice = langs, build_lattice(read_pieces(path))
+        self.p = np.exp(logp.astype(np.float64))
+        self.memo: dict[str, int] = {}
+        self.known = np.zeros((4096, self.p.shape[1]))
+
+    def learn(self, words: list[list[str]]) -> None:
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        fresh = list(dict.fromkeys(w for own in words for w in own if w not in memo))
+        while len(memo) + len(fresh) > len(self.known):
+            self.known = np.vstack([self.known, np.zeros_like(self.known)])
+        for part in in_batches(fresh, BATCH_CELLS // (MAX_PIECE * max(1, len(self.langs)))):
+            codes, n = coded([fresh[i] for i in part], self.lattice)
+            self.known[len(memo) : len(memo) + len(part)] = forward(codes, n, self.lattice, self.p)
+            for i in part:
+                memo[fresh[i]] = len(memo)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        preds, scores = [], []
+        words = [words_of(t) if self.langs else [] for t in texts]
+        self.learn(words)
+        for own in words:
+            if not own:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            total = self.known[np.fromiter(map(self.memo.__getitem__, own), np.int64, len(own))].sum(axis=0)
+            best = int(total.argmax())
+            preds.append(self.langs[best])
+            scores.append(float(1.0 / np.exp((total - total[best]) / min(TEMPER, len(own))).sum()))
+        return preds, scores
+
+    def batch(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        parts = [self(texts[at : at + 64].to_pylist()) for at in range(0, len(texts), 64)]
+        return [x for p, _ in parts for x in p], [x for _, s in parts for x in s]
 
 
 def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -323,8 +321,32 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str =
     was learned. Ties go to the first language in order. Repeated rows and null ids are scored each; further columns
     are ignored; an empty table gives no rows.
     """
+    where = path or vocabulary_path()
+    model = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(langs, model.value, where)
+        for batch in batches:
+            preds, scores = score.batch(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return labelled(rows, langs, logp, path=path)[0].select("doc_id", "lang_pred", "score")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def in_a_language(docs: DataFrame, langs: list[str], logp: np.ndarray, least: float, text: str = "text", path: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose language identify() finds with a score of `least` or more. Only texts go to
+    the Python workers; each row is decided in place."""
+    where = path or vocabulary_path()
+    model = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
+
+    @F.arrow_udf("boolean")
+    def clear(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = Scorer(langs, model.value, where)
+        for column in texts:
+            yield pa.array([x != "und" and s >= least for x, s in zip(*score.batch(column))], pa.bool_())
+
+    return docs.where(clear(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):

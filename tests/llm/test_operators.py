@@ -314,7 +314,7 @@ def test_forward_on_long_words():
     p = np.array([[0.25, 0.1], [0.125, 0.2], [0.25, 0.3], [0.0625, 0.1], [0.0625, 0.1], [0.125, 0.1], [0.125, 0.1]])
     words = ["".join(rng.choice("abx" if k % 2 else "ab") for _ in range(n)) for k, n in enumerate((1, 7, 40, 41, 300, 3000))]
     got = [None] * len(words)
-    for part in language_id.in_batches(words):
+    for part in language_id.in_batches(words, 1 << 16):
         codes, n = language_id.coded([words[i] for i in part], lattice)
         for i, row in zip(part, language_id.forward(codes, n, lattice, p)):
             got[i] = row

@@ -5,17 +5,32 @@ from lodestrata.streaming import jobs
 from pyspark.sql import functions as F
 
 
-def test_symbol_ids_and_lines():
-    rows = rust.parse(*FILES[0])
-    assert [(r[0], r[3]) for r in rows] == [("auth::save_session", "fn"), ("auth::login_user", "fn"), ("auth::Account", "struct"), ("auth::Account", "impl"), ("auth::renew", "fn")]
-    assert "Saves a session." in rows[0][4] and rows[0][4].startswith("// Saves")
-    assert any(r[0] == "auth::Account::renew" for r in rust.parse(*FILES[0], impl_methods=True))
+def chunks(spark, files, **options):
+    return rust.chunk_files(spark.createDataFrame(files, "path string, source string"), **options).collect()
 
 
-def test_small_files():
-    assert rust.parse("a.rs", "") == []
-    assert rust.parse("a.rs", "pub mod x;\n") == []
-    assert [r[3] for r in rust.parse(*FILES[4])] == ["module"]
+def test_symbol_ids_and_lines(spark):
+    rows = sorted(chunks(spark, FILES[:1], summaries=False), key=lambda r: r.start_line)
+    assert [(r.symbol_id, r.kind) for r in rows] == [("auth::save_session", "fn"), ("auth::login_user", "fn"), ("auth::Account", "struct"), ("auth::Account", "impl"), ("auth::renew", "fn")]
+    assert rows[0].content.startswith("// Saves a session.\n// Imports: crate::store::Session, std::fmt\n\n")
+    assert "auth::Account::renew" in {r.symbol_id for r in chunks(spark, FILES[:1], summaries=False, impl_methods=True)}
+
+
+def test_small_files(spark):
+    assert chunks(spark, [("a.rs", "")]) == [] and chunks(spark, [("a.rs", "pub mod x;\n")]) == []
+    assert [r.kind for r in chunks(spark, FILES[4:5], summaries=False)] == ["module"]
+
+
+def test_summaries(spark):
+    rows = {r.symbol_id: r for r in chunks(spark, FILES)}
+    assert rows["auth::file_summary"].content.splitlines()[:4] == ["// File: src/auth.rs", "// Module: src::auth", "// Symbols defined: 5", "// Imports: crate::store::Session, std::fmt"]
+    assert "  pub struct Account  // line" in rows["auth::file_summary"].content and "  // pub fn login_user(name: &str) -> bool" in rows["auth::file_summary"].content
+    assert "// Sub-modules: rows, cache" in rows["store::mod::module_exports"].content and "store::rows::module_exports" not in rows
+
+
+def test_small_helpers(spark):
+    r = spark.createDataFrame([("use a::b::C;\nuse a::D as E;\nuse x::{F, g::H as I};\nuse z::*;\n", "src/api/auth/x.rs", " a \n b ")], "s string, p string, t string").select(rust.import_map(F.col("s")).alias("m"), rust.domain(F.col("p")).alias("d"), rust.one_line(F.col("t")).alias("t")).first()
+    assert r.m == {"C": "a::b::C", "E": "a::D", "F": "x::F", "I": "x::g::H"} and r.d == "http" and r.t == "a b"
 
 
 def test_edges(spark):

@@ -33,16 +33,17 @@ def reinforcement_stats(boosts: DataFrame, weights: DataFrame) -> DataFrame:
 
 def quality_gate(fb: DataFrame) -> DataFrame:
     """score 0 .. 1 from six rules, accepted above 0.5, and the reasons of a rejection."""
-    sug, exp = F.length(F.trim("suggestions")), F.length(F.trim("expected"))
+    suggested, expected = (F.coalesce(c, F.lit("")) for c in ("suggestions", "expected"))
+    sug, exp = (F.length(F.regexp_replace(c, r"^\s+|\s+$", "")) for c in (suggested, expected))
     rating, mentions = F.col("rating"), F.col("n_mentions")
-    text = F.length("suggestions") + F.length("expected")
+    text = F.length(suggested) + F.length(expected)
     rated = rating.between(1, 5)
     rules = [
         (F.when(F.col("n_tools") > 0, 15), "no tools were called"),
         (F.when(mentions > 0, F.least(F.lit(20), 5 * mentions)), "no specific symbol or file references"),
         (F.when(sug > 30, 20).when(sug > 10, 10), "no actionable improvement suggestions"),
         (F.when(exp > 20, 15), "no expected-results description"),
-        (F.when(rating.isNull(), 5).when(rated, 10 + F.when((rating <= 2) & (mentions > 0) & (F.length("suggestions") > 0), 10).otherwise(0)), "rating out of range"),
+        (F.when(rating.isNull(), 5).when(rated, 10 + F.when((rating <= 2) & (mentions > 0) & (F.length(suggested) > 0), 10).otherwise(0)), "rating out of range"),
         (F.when(text > 200, 10).when(text >= 50, 0), "feedback too short"),
     ]
     points = sum((F.coalesce(p, F.lit(-5 if why == "feedback too short" else 0)) for p, why in rules), F.lit(0))
@@ -89,3 +90,75 @@ def similar_query_boosts(votes: DataFrame, query: str, k: int = 5) -> DataFrame:
     q = query.lower()
     v = votes.where((F.col("vote") > 0) & ((F.lower("query_text") == q) | F.lower("query_text").contains(q[:40])))
     return v.groupBy("symbol_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol_id").limit(k).select("symbol_id", F.round(F.least(0.1 * F.col("n"), F.lit(0.3)), 6).alias("boost"))
+
+
+def nonzero_boosts(boosts: DataFrame) -> DataFrame:
+    return boosts.where("boost <> 0")
+
+
+def evaluate_pending(feedback: DataFrame, most: int = 50) -> DataFrame:
+    """All rows, the oldest `most` pending ones gated: status and score changed. Only the keys of those chosen are joined."""
+    chosen = feedback.where("status = 'pending'").orderBy("created_at", "feedback_id").limit(most).select("feedback_id")
+    mine = feedback.join(F.broadcast(chosen), "feedback_id", "left_semi")
+    gated = quality_gate(mine.drop("status", "score")).select("feedback_id", F.col("status").alias("new_status"), F.col("score").alias("new_score"))
+    j = feedback.join(F.broadcast(gated), "feedback_id", "left")
+    return j.withColumn("status", F.coalesce("new_status", "status")).withColumn("score", F.coalesce("new_score", "score")).select(*feedback.columns)
+
+
+def unconsumed(feedback: DataFrame, most: int | None = None) -> DataFrame:
+    """Accepted feedback that no build has consumed, the best and then the oldest first."""
+    rows = feedback.where("status = 'accepted' and consumed_at is null").orderBy(F.desc("score"), "created_at", "feedback_id")
+    return rows if most is None else rows.limit(most)
+
+
+def consume(feedback: DataFrame, ids: DataFrame, build_id: str, at) -> DataFrame:
+    """All rows; those of ids(feedback_id) are marked as consumed by the build."""
+    j = feedback.join(ids.select("feedback_id", F.lit(True).alias("mine")).distinct(), "feedback_id", "left")
+    mine = F.coalesce("mine", F.lit(False))
+    return j.select(*(F.when(mine, F.lit(at)).otherwise(F.col(c)).alias(c) if c == "consumed_at" else F.when(mine, F.lit(build_id)).otherwise(F.col(c)).alias(c) if c == "consumed_by" else F.col(c) for c in feedback.columns))
+
+
+def signal_votes(signals: DataFrame, query: str = "_ai_feedback") -> DataFrame:
+    """A vote per symbol with a signal: for it if the signal is positive, else against."""
+    return signals.select("symbol_id", F.lit(query).alias("query_text"), F.when(F.col("signal") > 0, 1).otherwise(-1).alias("vote"), F.lit(0.5).alias("original_score"), F.concat(F.lit("AI feedback signal (weight="), F.format_string("%.3f", "signal"), F.lit(")")).alias("reason"))
+
+
+REBUILD_AT, RERANK_AT = 10, 5
+
+
+def tick(feedback: DataFrame, build_id: str | None, at, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A round of the feedback loop: (feedback, votes to append, one row of what happened and is due).
+
+    Pending feedback is gated; the signals of the accepted become votes; with an active build that feedback is consumed.
+    due is `rebuild` from REBUILD_AT accepted and unconsumed rows before, `rerank` from RERANK_AT, else `nothing`.
+    """
+    gated = evaluate_pending(feedback, most)
+    taken = unconsumed(gated, most)
+    votes = signal_votes(symbol_signals(taken))
+    after = consume(gated, taken, build_id, at) if build_id is not None else gated
+    n = unconsumed(gated).agg(F.count("*").alias("unconsumed"))
+    due = F.when(F.col("unconsumed") >= REBUILD_AT, "rebuild").when(F.col("unconsumed") >= RERANK_AT, "rerank").otherwise("nothing")
+    return after, votes, n.withColumn("due", due)
+
+
+def register(builds: DataFrame, build: DataFrame) -> DataFrame:
+    """builds with a new one, building, whose parent is its repository's active build."""
+    active = active_build(builds).withColumnRenamed("build_id", "parent_id")
+    new = build.drop("parent_id", "status").join(active, "repo", "left").withColumn("status", F.lit("building"))
+    return builds.unionByName(new.select(*builds.columns))
+
+
+def complete(builds: DataFrame, build_id) -> DataFrame:
+    """The build is completed; the other completed ones of its repository are superseded."""
+    repo = builds.where(F.col("build_id") == build_id).select("repo", F.lit(True).alias("mine"))
+    j = builds.join(F.broadcast(repo), "repo", "left")
+    status = F.when(F.col("build_id") == build_id, "completed").when(F.col("mine") & (F.col("status") == "completed"), "superseded").otherwise(F.col("status"))
+    return j.withColumn("status", status).select(*builds.columns)
+
+
+def with_quality(builds: DataFrame, build_id, score: float) -> DataFrame:
+    return builds.withColumn("quality_score", F.when(F.col("build_id") == build_id, F.lit(score)).otherwise(F.col("quality_score")))
+
+
+def history(builds: DataFrame, most: int = 20) -> DataFrame:
+    return builds.orderBy(F.desc("created_at"), F.desc("build_id")).limit(most)

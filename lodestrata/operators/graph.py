@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,12 +75,12 @@ def batch_impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """A frontier, written to the shared folder so that its lineage ends there; checkpointed nowhere machine-local."""
+    """A table written to the folder that driver and executors share, so that its lineage ends there."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp()}"
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/frontier-{uuid.uuid4().hex}"
@@ -86,6 +88,86 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steps_from(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, relation) of the edges at nodes(a, ...), from either end: two filtered scans, nothing rewritten."""
+    n = nodes.select("a").distinct()
+    out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation").join(n, "a", "left_semi")
+    return out.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "relation").join(n, "a", "left_semi"))
+
+
+def reach(edges: DataFrame, roots: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(symbol_id, hop) within depth steps of roots(symbol_id) in either direction, the nearest `most` if given.
+
+    Each hop filters the edges by the newest nodes alone; the undirected graph is never built.
+    """
+    seen = new = stage(roots.select("symbol_id", F.lit(0).alias("hop")).distinct())
+    for hop in range(1, depth + 1):
+        step = steps_from(edges, new.select(F.col("symbol_id").alias("a"))).select(F.col("b").alias("symbol_id")).distinct()
+        new = stage(step.join(seen, "symbol_id", "left_anti").withColumn("hop", F.lit(hop)))
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen if most is None else seen.orderBy("hop", "symbol_id").limit(most)
+
+
+#: Ends of ids that a path over type uses leaves out, and of ids that count as configuration.
+GLOBAL_STATE = ("GlobalState", "FastagGlobalState", "AppState")
+CONFIG_TYPES = ("GlobalState", "FastagGlobalState", "AppState", "Config", "Settings", "State", "Arc")
+#: Weight of a usage mode.
+MODE_WEIGHTS = {"pattern_match": 3, "construction": 2, "field_declaration": 2, "trait_impl": 2, "type_reference": 1, "type_param": 1, "import": 0, "reference": 0}
+
+
+def is_config_type(symbol_id: Column) -> Column:
+    return F.element_at(F.split(symbol_id, "::"), -1).rlike(f"({'|'.join(CONFIG_TYPES)})$")
+
+
+def dependency_path(edges: DataFrame, start: str, end: str, depth: int, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """(path, edge_types, length): a shortest path in either direction, the first in order, without ids of these ends."""
+    spark = edges.sparkSession
+    new = seen = stage(spark.createDataFrame([(start, start, "", 0)], "symbol_id string, path string, edge_types string, hop int"))
+    usable = lambda c: ~F.coalesce(F.col(c).rlike(f"({'|'.join(left_out)})$"), F.lit(False)) if left_out else F.lit(True)
+    for hop in range(1, depth + 1):
+        if not new.where(F.col("symbol_id") == end).isEmpty():
+            break
+        step = steps_from(edges, new.select(F.col("symbol_id").alias("a"))).where(usable("a") & usable("b"))
+        best = F.min(F.struct(F.concat_ws(">", "path", "b").alias("path"), F.concat(F.col("edge_types"), F.when(F.col("edge_types") != "", ">").otherwise(""), F.upper("relation")).alias("edge_types")))
+        found = new.join(step, new.symbol_id == step.a).groupBy(F.col("b").alias("symbol_id")).agg(best.alias("x")).select("symbol_id", "x.path", "x.edge_types")
+        new = stage(found.join(seen, "symbol_id", "left_anti").withColumn("hop", F.lit(hop)))
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen.where(F.col("symbol_id") == end).select("path", "edge_types", F.col("hop").alias("length"))
+
+
+def deep_neighbours(edges: DataFrame, symbol_id: str, depth: int) -> DataFrame:
+    """(way, other, hop, usage_modes): all that a symbol reaches within depth steps in each of the four directions.
+
+    Calls are distinct by node; uses count each node with the modes of the edge next to the symbol, sorted, distinct.
+    """
+    spark, out = edges.sparkSession, None
+    for way, relation, a, b in (("upstream", "calls", "dst", "src"), ("downstream", "calls", "src", "dst"), ("used_by", "uses", "dst", "src"), ("uses", "uses", "src", "dst")):
+        e = edges.where(F.col("relation") == relation).select(F.col(a).alias("a"), F.col(b).alias("b"), "usage_modes")
+        new = spark.createDataFrame([(symbol_id, [])], "other string, usage_modes array<string>")
+        for hop in range(1, depth + 1):
+            n = new.select(F.col("other").alias("a"), F.col("usage_modes").alias("first"))
+            step = e.join(n, "a").select(F.col("b").alias("other"), (F.col("usage_modes") if hop == 1 else F.col("first")).alias("usage_modes"), F.lit(hop).alias("hop"))
+            if relation == "calls":
+                step = step.groupBy("other", "hop").agg(F.first("usage_modes").alias("usage_modes"))
+            else:
+                step = step.distinct()
+            new = stage(step)
+            found = new.select(F.lit(way).alias("way"), "other", "hop", F.when(F.size("usage_modes") > 0, F.array_sort("usage_modes")).otherwise(F.array().cast("array<string>")).alias("usage_modes"))
+            out = found if out is None else out.unionByName(found)
+    return out.groupBy("way", "other", "usage_modes").agg(F.min("hop").alias("hop"))
+
+
+def tree_lines(files: DataFrame, depth: int = 3, most: int = 60) -> DataFrame:
+    """(line_no, line): the directory lines of files(file_path) at most depth folders deep, in order, and no more than `most`."""
+    short = files.where(F.size(F.split("file_path", "/")) - 1 <= depth)
+    lines = directory_lines(short).orderBy("dir").limit(most)
+    return lines.select((F.row_number().over(Window.orderBy("dir"))).alias("line_no"), F.concat(F.col("dir"), F.lit(": "), F.col("line")).alias("line"))
+
+
 def frontier(pairs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, symbol_id, hop) with the smallest number of hops up to depth; pairs(a, b) are the steps, roots have hop 0.
 

@@ -160,17 +160,17 @@ def analyze_pr_diff(catalog: Catalog, diff_text: str, max_symbols: int = 10) ->
 
 @tool
 def find_dependency_path(catalog: Catalog, from_symbol: str, to_symbol: str, max_depth: int = 5) -> DataFrame:
-    """(path, length): over calls if they connect the two, else over calls and type uses."""
+    """(path, edge_types, length): over calls if they connect the two, else over calls and type uses that avoid global state."""
     depth = clamp(max_depth, 1, 10)
-    found = graph.shortest_path(graph.stage(graph.undirected(catalog.edges.where("relation = 'calls'"))), from_symbol, to_symbol, depth)
-    return found if not found.isEmpty() else graph.shortest_path(graph.stage(graph.undirected(catalog.edges)), from_symbol, to_symbol, depth)
+    found = graph.dependency_path(catalog.edges.where("relation = 'calls'"), from_symbol, to_symbol, depth)
+    return found if not found.isEmpty() else graph.dependency_path(catalog.edges, from_symbol, to_symbol, depth, graph.GLOBAL_STATE)
 
 
 @tool
 def traverse_graph(catalog: Catalog, symbol_id: str, depth: int = 1, summary_only: bool = False) -> DataFrame:
-    """Symbols within depth - 1 steps with their hop and neighbours: counts for summary_only, else the capped lists."""
-    pairs = graph.stage(graph.undirected(catalog.edges))
-    seen = graph.frontier(pairs, one(catalog, [symbol_id]), clamp(depth, 1, 5) - 1).select("symbol_id", "hop")
+    """Symbols within depth - 1 steps with their hop and neighbours: counts for summary_only, else the capped lists of the
+    nearest 50 symbols."""
+    seen = graph.reach(catalog.edges, one(catalog, [symbol_id]), clamp(depth, 1, 5) - 1, None if summary_only else graph.CAP)
     near = around(catalog.edges, seen)
     return seen.join(graph.degrees(near) if summary_only else graph.neighbours(near), "symbol_id")
 

@@ -39,7 +39,7 @@ def test_combined_impact(catalog):
 
 
 def test_paths_and_hops(catalog):
-    assert tuple(call(catalog, "find_dependency_path", from_symbol="m::a", to_symbol="m::c").first()) == ("m::a>m::b>m::c", 2)
+    assert tuple(call(catalog, "find_dependency_path", from_symbol="m::a", to_symbol="m::c").first()) == ("m::a>m::b>m::c", "CALLS>CALLS", 2)
     assert call(catalog, "find_dependency_path", from_symbol="m::c", to_symbol="m::d").first().length == 3
     rows = call(catalog, "traverse_graph", symbol_id="m::a", depth=9, summary_only=True).collect()
     assert {r.symbol_id: r.hop for r in rows} == {"m::a": 0, "m::b": 1, "m::d": 1, "m::e": 1, "m::c": 2}

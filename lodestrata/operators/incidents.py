@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stage
+
 CHAIN = ("CREATED", "INGESTING", "RETRIEVING", "GRAPH_EXPANDING", "GENERATING_PATCH", "VALIDATING", "RESOLVED")
 FINAL = ("RESOLVED", "FAILED")
 
@@ -41,11 +43,20 @@ def last_with(events: DataFrame, state: str) -> DataFrame:
 
 
 def latency(events: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean and nearest-rank percentiles: the element floor(n * p), from 0, of the sorted values; a rank window, so no group is held as one list."""
+    """Mean and nearest-rank percentiles: the element floor(n * p), from 0, of the sorted values.
+
+    Rows are range-partitioned by key and value, so that a key of most rows is sorted by many tasks; the counts of a key
+    in the partitions before tell which partition and line hold the wanted elements.
+    """
+    rows = events.where(F.col(value).isNotNull()).select(by, value).repartitionByRange(by, value).sortWithinPartitions(by, value)
+    rows = stage(rows.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()))
     w = Window.partitionBy(by)
-    ranked = events.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col(value)))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    per = rows.groupBy(by, "part").agg(F.count("*").alias("own"), F.min("line").alias("first"), F.sum(value).alias("sum"))
+    per = per.withColumn("before", F.coalesce(F.sum("own").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("own").over(w)).withColumn("mean", F.round(F.sum("sum").over(w) / F.col("n"), 6))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("i")) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))))
+    at = per.select(by, "part", "n", "mean", "before", "own", "first", wanted.alias("x")).where("x.i >= before and x.i < before + own").select(by, "n", "mean", "part", (F.col("first") + F.col("x.i") - F.col("before")).alias("line"), "x.name")
+    found = rows.select("part", "line", F.col(value).alias("found")).join(at, ["part", "line"])
+    return found.groupBy(by, "n", "mean").agg(*(F.max(F.when(F.col("name") == p, F.col("found"))).alias(p) for p in ("p50", "p95", "p99")))
 
 
 def throughput(events: DataFrame) -> DataFrame:

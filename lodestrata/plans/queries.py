@@ -11,8 +11,8 @@ from ..functions import diff, rust
 from ..operators import feedback as fb
 from ..operators import graph, incidents, retrieve, snapshots
 from ..sources import views as v
-from ..sources.views import BUILDS_SQL, CHUNKS_SQL, EDGES_SQL, FEEDBACK_SQL, INCIDENTS_SQL, SYMBOLS_SQL, VOTES_SQL
-from . import samples
+from ..sources.views import BUILDS_SQL, CHUNKS_SQL, EDGES_SQL, FEEDBACK_SQL, INCIDENTS_SQL, RUST_SQL, SYMBOLS_SQL, VOTES_SQL
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,7 +228,7 @@ def hybrid_topk(spark, d):
     q = e.where("vec_id = 0").select("embedding").first()
     c = e.select(F.col("vec_id").alias("doc_id"), retrieve.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in (q[0] if q else [0.0])))).alias("c"))
     j = retrieve.bm25(v.chunks(spark, d), TERMS).join(c, "doc_id")
-    s = j.select("doc_id", F.round(0.5 * retrieve.min_max(F.col("score")) + 0.5 * retrieve.min_max(F.col("c")), 6).alias("score"))
+    s = retrieve.min_max(graph.stage(j), ["score", "c"]).select("doc_id", F.round(0.5 * F.col("score") + 0.5 * F.col("c"), 6).alias("score"))
     return s.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -265,15 +265,19 @@ def top_chunk_per_file(spark, d):
 
 
 @query("""SELECT symbol_id, dir, score, row_number() OVER (ORDER BY score DESC, symbol_id)::INT AS place FROM (SELECT symbol_id, split_part(file_path, '/', 1) AS dir, score,
-    row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY score DESC, symbol_id) AS r FROM sc WHERE score >= 0.4 AND score < 0.6)
+    row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY score DESC, symbol_id) AS r FROM sc WHERE score >= 0.4)
     WHERE r <= CASE WHEN score >= 0.75 THEN 99 WHEN score >= 0.55 THEN 4 WHEN score >= 0.45 THEN 2 ELSE 1 END ORDER BY score DESC, symbol_id LIMIT 8""", SCORED)
 def dir_quota(spark, d):
-    return retrieve.directory_quota(_scored(spark, d).where("score < 0.6").withColumn("dir", F.substring_index("file_path", "/", 1)))
+    return retrieve.directory_quota(_scored(spark, d).withColumn("dir", F.substring_index("file_path", "/", 1)))
 
 
-@query("""SELECT file_path, symbol_id, used_before::BIGINT AS used_before FROM (SELECT file_path, symbol_id, coalesce(sum(len) OVER (PARTITION BY file_path ORDER BY score DESC, symbol_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM sc) WHERE used_before < 12000""", SCORED)
+BUDGET = """, best AS (SELECT *, coalesce(sum(len) OVER (ORDER BY score DESC, symbol_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM (SELECT * FROM sc ORDER BY score DESC, symbol_id LIMIT 25)),
+chosen AS (SELECT *, CASE WHEN score >= 0.6 THEN len ELSE least(len, 30000 - used_before) END::BIGINT AS shown FROM best WHERE used_before < 30000)"""
+
+
+@query("SELECT file_path, symbol_id, used_before, shown FROM chosen", SCORED + BUDGET)
 def context_budget(spark, d):
-    return retrieve.within_budget(_scored(spark, d), 12000, "file_path").select("file_path", "symbol_id", F.col("used_before").cast("long").alias("used_before"))
+    return retrieve.within_budget(_scored(spark, d), 30_000).select("file_path", "symbol_id", F.col("used_before").cast("long").alias("used_before"), F.col("shown").cast("long").alias("shown"))
 
 
 @query("""SELECT symbol_id, round(CASE WHEN n > 0 THEN least(s * (1 + 0.2::DOUBLE * n), 1) ELSE s END, 6) AS boosted FROM (SELECT *, CASE WHEN m > 0 THEN least(score * (1 + 0.25::DOUBLE * m), 1) ELSE score END AS s FROM
@@ -287,10 +291,8 @@ def path_overlap_boost(spark, d):
     max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM (SELECT * FROM embeddings WHERE label = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)""")
 def resolved_error_lookup(spark, d):
     e = v.read(spark, d, "embeddings")
-    a = e.where("label = 0").select(F.col("vec_id").alias("id_a"), F.col("embedding").alias("va"))
-    j = e.join(a, F.col("vec_id") != F.col("id_a")).select("id_a", "vec_id", retrieve.cosine(F.col("va"), F.col("embedding")).alias("c"))
-    best = j.groupBy("id_a").agg(F.max_by("vec_id", F.struct("c", (-F.col("vec_id")).alias("k"))).alias("m"), F.max("c").alias("best"))
-    return best.select(F.col("id_a").alias("vec_id"), F.when(F.col("best") >= 0.95, F.col("m")).alias("resolved"), F.round("best", 6).alias("score"))
+    best = retrieve.nearest(e, e.where("label = 0"))
+    return best.select(F.col("query").alias("vec_id"), F.when(F.col("score") >= 0.95, F.col("match")).alias("resolved"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, (SELECT count(*) FROM embeddings) AS vectors FROM chunks", CHUNKS_SQL)
@@ -449,31 +451,28 @@ def thread_titles(spark, d):
     return incidents.titles(v.read(spark, d, "conversations")).select("conv_id", "turn", "title")
 
 
-@query()
-def accepted_transitions(spark, d):
-    """The machine that ignores illegal attempts, in batch; its state depends on all attempts before."""
-    import pandas as pd
-
-    from ..streaming.jobs import accept
+LEGAL = f"""CASE WHEN r.state IS NULL THEN e.state = 'CREATED' WHEN r.state IN ('RESOLVED', 'FAILED') THEN false WHEN e.state = 'FAILED' THEN true
+    ELSE coalesce(list_position({list(incidents.CHAIN)}, e.state) = list_position({list(incidents.CHAIN)}, r.state) + 1, false) END"""
 
-    def run(key, f):
-        return pd.DataFrame([(key[0], *x) for x in accept(None, list(zip(f["ts"], f["event_id"], f["state"])))[1]], columns=["session_id", "event_id", "state", "accepted"])
 
-    return v.incident_events(spark, d).groupBy("session_id").applyInPandas(run, "session_id long, event_id long, state string, accepted boolean")
+@query(f"""SELECT session_id, event_id, new AS state, ok AS accepted FROM r WHERE i > 0""", "RECURSIVE " + INCIDENTS_SQL.strip() + f""",
+e AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i FROM incident_events),
+r AS (SELECT DISTINCT session_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS new, NULL::VARCHAR AS state, NULL::BOOLEAN AS ok FROM e
+    UNION ALL SELECT e.session_id, e.i, e.event_id, e.state, CASE WHEN {LEGAL} THEN e.state ELSE r.state END, {LEGAL} FROM r JOIN e ON e.session_id = r.session_id AND e.i = r.i + 1)""")
+def accepted_transitions(spark, d):
+    """The machine that ignores illegal attempts, in batch; its state depends on all attempts before."""
+    rows = v.incident_events(spark, d).select("session_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "state")
+    return jobs.accepted(rows)
 
 
-@query()
+@query("""SELECT user_id, event_id, ok AS passed FROM r WHERE i > 0""", """RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, []::BIGINT[] AS recent, NULL::BOOLEAN AS ok FROM events
+    UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN len(list_filter(recent, lambda x: x >= tm - 60000000)) < 5 THEN list_append(list_filter(recent, lambda x: x >= tm - 60000000), tm) ELSE recent END,
+    len(list_filter(recent, lambda x: x >= tm - 60000000)) < 5 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)""")
 def rate_limited(spark, d):
     """Calls that pass a limit of five in 60 seconds; refused ones aren't counted."""
-    import pandas as pd
-
-    from ..streaming.jobs import limit_rate
-
-    def run(key, f):
-        return pd.DataFrame([(key[0], *x) for x in limit_rate([], list(zip(f["at"], f["event_id"])), 5, 60)[1]], columns=["user_id", "event_id", "passed"])
-
     rows = v.read(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
-    return rows.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, passed boolean")
+    return jobs.limited(rows, 5, 60)
 
 
 # Snapshots.
@@ -505,36 +504,24 @@ def replay(spark, d):
 
 # Parsing.
 
-CALLS_SQL = """, tok AS (SELECT DISTINCT symbol_id AS src, unnest(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\\s*[.]', 1)) AS name FROM chunks)"""
-
-
-@query("SELECT name, count(*) AS n FROM tok GROUP BY name HAVING count(*) > 1", CHUNKS_SQL + CALLS_SQL)
-def call_tokens_by_name(spark, d):
-    """Names before a full stop, by the number of chunks that hold them."""
-    tok = v.chunks(spark, d).select("symbol_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*[.]"), F.lit(1)))).alias("name"))
-    return tok.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def _files(spark):
-    return spark.createDataFrame(samples.FILES, "path string, source string")
-
 
-@query()
+@query("""SELECT symbol_id, file_path, kind FROM rc UNION ALL SELECT module || '::file_summary', path, 'file_summary' FROM rf""", RUST_SQL)
 def rust_chunks(spark, d):
-    return rust.chunk_files(_files(spark))
+    return rust.chunk_files(v.rust_files(spark, d)).select("symbol_id", "file_path", "kind")
 
 
-@query()
+@query("SELECT src, dst, relation, modes FROM re", RUST_SQL)
 def rust_edges(spark, d):
-    c = rust.chunk_files(_files(spark), summaries=False)
+    c = graph.stage(rust.chunk_files(v.rust_files(spark, d), summaries=False))
     return rust.call_edges(c).unionByName(rust.use_edges(c)).select("src", "dst", "relation", F.array_join("usage_modes", ",").alias("modes"))
 
 
-@query()
+@query("""SELECT k AS diff_id, 'f' || k AS name, 'modified' AS status, 'signature_change' AS change_type, (SELECT least(count(*), 5) FROM rc WHERE contains(lower(symbol_id), 'f' || p.k))::BIGINT AS symbols FROM p
+    UNION ALL SELECT k, 'added' || k, 'added', 'new', 0 FROM p""", RUST_SQL + ", p AS (SELECT p_partkey AS k FROM part WHERE p_size <= 3)")
 def diff_changes(spark, d):
-    diffs = spark.createDataFrame(samples.DIFFS, "diff_id int, text string")
-    changes = diff.changed_symbols(diff.diff_lines(diffs))
-    return diff.resolve(changes, rust.chunk_files(_files(spark), summaries=False).select("symbol_id").distinct())
+    changes = diff.changed_symbols(diff.diff_lines(v.diffs(spark, d)))
+    found = diff.resolve(changes, rust.chunk_files(v.rust_files(spark, d), summaries=False).select("symbol_id").distinct())
+    return found.groupBy("diff_id", "name", "status", "change_type").agg(F.count("symbol_id").alias("symbols"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

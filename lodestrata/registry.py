@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import tool_queries  # noqa: F401, adds its queries
+from .plans import more_queries, tool_queries  # noqa: F401, add their queries
 from .plans.queries import ORACLES, QUERIES
 
 

@@ -125,3 +125,39 @@ BUILDS_SQL = """
 builds AS (SELECT o_custkey AS repo, o_orderkey AS build_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_id,
     CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'building' ELSE 'failed' END AS status, round(o_orderkey % 1000 / 1000.0::DOUBLE, 3) AS quality_score, o_orderdate AS created_at FROM orders)
 """
+
+
+def rust_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, source, k): a Rust file per part, with a function that calls another file's, a helper, and a struct that uses the next."""
+    k, nxt = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    text = F.format_string("use crate::base::T%s;\n\n/// Part %s.\npub fn f%s(n: u64) -> u64 {\n    g%s(n) + f%s(n)\n}\n\npub fn g%s(n: u64) -> u64 { n + 1 + 2 + 3 }\n\npub struct S%s {\n    pub first: S%s,\n    pub second: u64,\n}\n", (F.col("p_partkey") % 7).cast("string"), k, k, (F.col("p_partkey") % 50).cast("string"), nxt, k, k, nxt)
+    return read(spark, d, "part").select(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/p"), k, F.lit(".rs")).alias("path"), text.alias("source"), F.col("p_partkey").alias("k"))
+
+
+RUST_SQL = """
+rf AS (SELECT p_partkey AS k, 'src/' || replace(p_brand, '#', '') || '/p' || p_partkey || '.rs' AS path, replace(p_brand, '#', '') || '::p' || p_partkey AS module FROM part),
+rc AS (SELECT module || '::' || x || k AS symbol_id, path AS file_path, CASE x WHEN 'S' THEN 'struct' ELSE 'fn' END AS kind, x, k FROM rf, (SELECT unnest(['f', 'g', 'S']) AS x)),
+re AS (SELECT a.symbol_id AS src, b.symbol_id AS dst, CASE a.x WHEN 'f' THEN 'calls' ELSE 'uses' END AS relation, CASE a.x WHEN 'f' THEN '' ELSE 'field_declaration' END AS modes, a.k AS a, b.k AS b
+    FROM rc a JOIN rc b ON a.x = 'f' AND b.x = 'g' AND b.k = a.k % 50 OR a.x = b.x AND a.x <> 'g' AND b.k = a.k + 1)
+"""
+
+
+def diffs(spark: SparkSession, d: str) -> DataFrame:
+    """(diff_id, text): a changed signature and a new function in the files of small parts."""
+    f = rust_files(spark, d).join(read(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("k")), "k")
+    text = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -4 +4,4 @@\n-pub fn f%s(n: u64) -> u64 {\n+pub fn f%s(n: u64, m: u64) -> u64 {\n+pub fn added%s() {\n+}\n", "path", "path", "path", "path", F.col("k").cast("string"), F.col("k").cast("string"), F.col("k").cast("string"))
+    return f.select(F.col("k").alias("diff_id"), text.alias("text"))
+
+
+def feedback_log(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback with a life: two thirds pending, some accepted, some of these consumed."""
+    f, i = ai_feedback(spark, d), F.col("feedback_id")
+    status = F.when(i % 3 < 2, "pending").otherwise("accepted")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + i * 7919 % 100_000)
+    return f.withColumn("status", status).withColumn("score", F.when(status == "accepted", F.round(i % 50 / 100 + 0.5, 2))).withColumn("created_at", at).withColumn("consumed_at", F.when((status == "accepted") & (i % 2 == 0), at)).withColumn("consumed_by", F.when((status == "accepted") & (i % 2 == 0), "b1"))
+
+
+FEEDBACK_LOG_SQL = """, flog AS (SELECT * EXCLUDE (status, score), feedback_id % 3 < 2 AS pending, CASE WHEN feedback_id % 3 < 2 THEN 'pending' ELSE 'accepted' END AS status, CASE WHEN feedback_id % 3 = 2 THEN round(feedback_id % 50 / 100.0::DOUBLE + 0.5, 2) END AS old_score,
+    feedback_id * 7919 % 100000 AS created, feedback_id % 3 = 2 AND feedback_id % 2 = 0 AS consumed, score AS new_score, status AS new_status FROM gate),
+ev AS (SELECT *, CASE WHEN chosen THEN new_status ELSE status END AS now_status, CASE WHEN chosen THEN new_score ELSE old_score END AS now_score FROM
+    (SELECT *, pending AND row_number() OVER (PARTITION BY pending ORDER BY created, feedback_id) <= 50 AS chosen FROM flog))"""

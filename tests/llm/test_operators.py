@@ -214,6 +214,34 @@ def test_surrogates_are_distinct_and_agree(spark):
     assert len(set(names)) == len({rows_[1] for rows_ in rows[3:]})
 
 
+def test_names_agree_throughout_a_text(spark):
+    said = "Mr. Peter Jones met Mrs. Maria Silva. Mr. Jones left. Peter Jones said hi to Maria Silva. Dr. Anna Berg agreed. Call 555-0199 or 2001:db8::ff00:42:8329."
+    got = pii.pseudonymise(spark.createDataFrame([(1, said), (2, "Mrs. Ada Silva and Mr. Silva"), (3, "х г-жа Анна Петрова и Петрова")], "doc_id long, text string"), "k").collect()
+    text = {r.doc_id: r.text for r in got}
+    assert not re.search("Peter|Jones|Maria|Silva|Anna|Berg|555-0199|2001:db8|Петрова", " ".join(text.values()))
+    one = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Mr\. (\w+) left\. (\w+) (\w+) said hi to (\w+) (\w+)\. Dr\. \w+ \w+ agreed\. Call \d{3}-\d{4} or [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}\.$", text[1]).groups()
+    assert one[4] == one[1] == one[6] and one[5] == one[0] and one[7:9] == one[2:4]
+    two = text[2].split()
+    assert two[2] == two[5] == one[3] and two[1] != "Ada" and text[3].split()[3] == text[3].split()[5]
+
+
+def test_surrogates_never_collide(spark):
+    """More one-letter addresses than a round can tell apart, and surnames that are surrogates of others."""
+    rows = [("email", f"{a}@{b}.co") for a in "abcde" for b in "abcdefghijklmnopqrstuvwxyz"] + [(g, n.lower()) for (s, g), own in pii.GIVEN.items() for n in own]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
+    made = [(r.kind == "email", r.surrogate) for r in got]
+    assert len(got) == len(set(rows)) == len(set(made)) and not set(made) & {(k == "email", n) for k, n in rows}
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    rows = spark.createDataFrame([(1, "x" * 1_000_000 + " a@b.de"), (2, "A1" * 500_000), (3, "1:" * 300_000), (4, "Mr. " * 100_000)], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r.n_entities for r in pii.pseudonymise(rows).collect()}[1] == 1 and secrets.scan_secrets(rows).count() == 4
+    assert time.time() - began < 60
+
+
 def test_token_counts_are_the_library_s(spark, docs):
     import sentencepiece
 

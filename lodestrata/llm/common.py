@@ -50,6 +50,22 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of an Arrow batch at most, where whole texts or their sets go to the workers.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are smaller: by default 10,000 rows meet
+    in one, which of long texts are hundreds of MB in the executor and its workers, twice while a vector grows. The setting
+    stays, since plans run after the operator has returned."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", df.sparkSession.conf.get(key))[0])
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(key, most)
+    return df
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores until no column is called so (case aside)."""
     while name.lower() in {x.lower() for x in taken}:

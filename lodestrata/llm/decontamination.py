@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WORDS = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -210,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs with a null doc_id; repeated rows give repeated pairs. An empty table on either side gives no rows. Further
     columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks, item_kind = _blocks(benchmark, item_id, item_text)
     parts = []
@@ -245,7 +245,7 @@ def _holds_none(block):
 def without_copies(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no copy of an item in the sense of decontaminate(); each row is decided in
     place, in one scan for all blocks of items, and only texts go to the workers. Null and empty texts stay."""
-    out = docs
+    out = small_batches(docs)
     for block in _blocks(benchmark, item_id, item_text)[0]:
         out = out.where(_holds_none(block)(F.col(text)))
     return out

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, dropped, join_groups, only_marked, slot_of, slots_for, staged, table
+from .common import WORD, connected, dropped, join_groups, only_marked, slot_of, slots_for, small_batches, staged, table
 
 #: Shingles that a block of a cluster holds at most, about: a larger cluster is searched in several blocks.
 BLOCK_SHINGLES = 1 << 19
@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
                 kind = pa.int64()
                 yield pa.record_batch([batch.column(0)[at : at + 256], pa.array(n, kind), pa.array(a, kind), pa.array(b, kind), _lists(posted)], ["doc_id", "n", "h1", "h2", "posted"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut = staged(rows.mapInArrow(shingles, "doc_id long, n long, h1 long, h2 long, posted array<long>"))
     same = ["n", "h1", "h2"]
     ids = staged(cut.select("doc_id", *same))

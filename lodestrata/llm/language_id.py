@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, staged, table
+from .common import dropped, small_batches, staged, table
 from .token_counts import vocabulary_path
 
 #: Learning reads an expected number of whole documents a language, chosen by a hash of doc_id: the bound of its sample.
@@ -223,8 +223,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((n_pieces, 0))
-    rates = spark.createDataFrame([(k, min(1.0, docs_a_lang / sizes[k])) for k in langs], "lang string, rate double")
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(10), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("u"))
+    # From an Arrow table, which needs no Python worker beside those of the stages.
+    rates = spark.createDataFrame(pa.table({"lang": langs, "rate": [min(1.0, docs_a_lang / sizes[k]) for k in langs]}))
+    rows = small_batches(docs).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(10), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("u"))
     sample = rows.join(F.broadcast(rates), "lang").where("u < rate").select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +331,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, doc_id: str =
             preds, scores = score.batch(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -346,7 +347,7 @@ def in_a_language(docs: DataFrame, langs: list[str], logp: np.ndarray, least: fl
         for column in texts:
             yield pa.array([x != "und" and s >= least for x, s in zip(*score.batch(column))], pa.bool_())
 
-    return docs.where(clear(F.col(text)))
+    return small_batches(docs).where(clear(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):

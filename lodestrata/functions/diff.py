@@ -16,6 +16,8 @@ DECLARED = {
 SIGNATURE = r"^\s*(?:pub\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?:<[^>]*>)?\s*\([^)]*\)"
 FIELD = r"^\s*(?:pub\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*:\s*([A-Za-z_][A-Za-z0-9_<>&\s,]*)"
 TRAIT_IMPL = r"^\s*impl(?:<[^>]+>)?\s+([A-Za-z_][A-Za-z0-9_<>\s,]*)\s+for\s+([A-Za-z_][A-Za-z0-9_<>\s,]*)"
+#: So many first letters of a name must stand at a place of an id before the whole name is tried there.
+HEAD = 3
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -60,16 +62,31 @@ def changed_symbols(lines: DataFrame) -> DataFrame:
     return a.select("diff_id", "name", status.alias("status"), F.when(gone, "unknown").when(F.col("impls"), "impl").otherwise(kind).alias("symbol_type"), change.alias("change_type"))
 
 
-def resolve(changes: DataFrame, symbols: DataFrame, limit: int = 5, deleted_limit: int = 3) -> DataFrame:
-    """Changes with the symbols whose id holds the name (case aside), the first few of each; symbol_id null: not in the index.
+def _holders(symbols: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """symbols(symbol_id) and distinct names(low) -> (low, symbol_id, r): the first `limit` ids that hold the name, case aside.
 
-    The names of diffs are few, so they are the broadcast side of the substring join.
+    A place of an id where some name's first letters stand gives a candidate for each length of such names, and candidates
+    meet the names by equality: rows grow with the ids' letters, not with ids times names. An id counts once (dense rank).
     """
-    hit = symbols.select("symbol_id").join(F.broadcast(changes.select("diff_id", "name").distinct()), F.contains(F.lower("symbol_id"), F.lower("name")))
-    w = Window.partitionBy("diff_id", "name").orderBy("symbol_id")
-    hit = hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
-    j = changes.join(hit, ["diff_id", "name"], "left").where((F.col("status") != "deleted") | F.coalesce(F.col("r") <= deleted_limit, F.lit(False)))
-    return j.drop("r")
+    head = F.substring("low", 1, HEAD)
+    heads = names.groupBy(head.alias("head")).agg(F.collect_set(F.length("low")).alias("sizes"))
+    widths = names.agg(F.collect_set(F.length(head)).alias("widths"))
+    text = F.lower("symbol_id")
+    places = symbols.join(F.broadcast(widths)).select("symbol_id", text.alias("text"), F.explode("widths").alias("width"))
+    places = places.select("symbol_id", "text", "width", F.explode(F.when(F.col("width") == 0, F.array(F.lit(1))).when(F.length("text") >= F.col("width"), F.sequence(F.lit(1), F.length("text") - F.col("width") + 1))).alias("at"))
+    places = places.withColumn("head", F.substring("text", F.col("at"), F.col("width"))).join(F.broadcast(heads), "head")
+    each = places.select("symbol_id", "text", "at", F.explode("sizes").alias("size")).where(F.col("at") + F.col("size") <= F.length("text") + 1)
+    hit = each.select("symbol_id", F.substring("text", F.col("at"), F.col("size")).alias("low")).join(names, "low")
+    w = Window.partitionBy("low").orderBy("symbol_id")
+    return hit.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= limit).distinct()
+
+
+def resolve(changes: DataFrame, symbols: DataFrame, limit: int = 5, deleted_limit: int = 3) -> DataFrame:
+    """Changes with the symbols whose id holds the name (case aside), the first few of each; symbol_id null: not in the index."""
+    changes = changes.withColumn("low", F.lower("name"))
+    hit = _holders(symbols.select("symbol_id"), changes.select("low").where("low is not null").distinct(), limit)
+    j = changes.join(hit, "low", "left").where((F.col("status") != "deleted") | F.coalesce(F.col("r") <= deleted_limit, F.lit(False)))
+    return j.drop("r", "low")
 
 
 def breakdown(changes: DataFrame) -> DataFrame:

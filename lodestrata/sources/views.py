@@ -131,7 +131,8 @@ def rust_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, source, k): a Rust file per part, with a function that calls another file's, a helper, and a struct that uses the next."""
     k, nxt = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
     text = F.format_string("use crate::base::T%s;\n\n/// Part %s.\npub fn f%s(n: u64) -> u64 {\n    g%s(n) + f%s(n)\n}\n\npub fn g%s(n: u64) -> u64 { n + 1 + 2 + 3 }\n\npub struct S%s {\n    pub first: S%s,\n    pub second: u64,\n}\n", (F.col("p_partkey") % 7).cast("string"), k, k, (F.col("p_partkey") % 50).cast("string"), nxt, k, k, nxt)
-    return read(spark, d, "part").select(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/p"), k, F.lit(".rs")).alias("path"), text.alias("source"), F.col("p_partkey").alias("k"))
+    part = read(spark, d, "part").select("p_partkey", "p_brand").repartition("p_partkey")  # a few MB of parts become many of source
+    return part.select(F.concat(F.lit("src/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/p"), k, F.lit(".rs")).alias("path"), text.alias("source"), F.col("p_partkey").alias("k"))
 
 
 RUST_SQL = """

@@ -52,6 +52,28 @@ def test_diffs(spark):
     assert got == {(1, "login_user"): ("modified", "signature_change"), (2, "logout_user"): ("added", "new"), (2, "flush_all"): ("deleted", "deleted"), (4, "Account"): ("modified", "struct_field"), (5, "put"): ("added", "trait_impl")}
 
 
+def test_names_are_found_without_comparing_each_with_each_id(spark):
+    """resolve gives what comparing all pairs gives, for odd names too, and doesn't compare them."""
+    ids = ["a::b::Foo", "a::FOO::foo", "x::fo", "fo", "", "a.c::İx", "f", *(f"p{i % 7}::f{i}" for i in range(60))]
+    changes = [(d, n, s) for d, n in enumerate(["foo", "FO", "f", "", "::", "f1", "f12", "a.c", "zzz", "p1::f1", "i̇", None]) for s in ("modified", "deleted")] + [(99, "foo", "added")]
+    got = diff.resolve(spark.createDataFrame(changes, "diff_id int, name string, status string"), spark.createDataFrame([(x,) for x in ids], "symbol_id string"))
+    want = []
+    for d, n, s in changes:
+        hits = sorted((x for x in ids if n is not None and n.lower() in x.lower()), key=str.encode)[: 3 if s == "deleted" else 5]
+        want += [(d, n, s, x) for x in hits or ([None] if s != "deleted" else [])]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in got.select("diff_id", "name", "status", "symbol_id").collect()), key=key) == sorted(want, key=key)
+    assert "Contains(" not in got._jdf.queryExecution().toString()
+
+
+def test_item_lines(spark):
+    files = [*FILES, ("src/late.rs", "\n\n\nfn a() {}\n\n\nfn b() {}")]
+    for r in rust.items(spark.createDataFrame(files, "path string, source string")).where("kind is not null").collect():
+        source = dict(files)[r.path]
+        start = source.index(r.body)
+        assert (r.start_line, r.end_line) == (source.count("\n", 0, start) + 1, source.count("\n", 0, start + len(r.body)) + 1)
+
+
 def test_snapshots(spark, tmp_path):
     store = snapshots.SnapshotStore(spark, f"file://{tmp_path}")
     store.replace(chunks=spark.range(3).toDF("id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,30 @@ def reinforcement_stats(boosts: DataFrame, weights: DataFrame) -> DataFrame:
     return b.join(F.broadcast(weights.agg(F.count("*").alias("expansions"))))
 
 
-def quality_gate(fb: DataFrame) -> DataFrame:
-    """score 0 .. 1 from six rules, accepted above 0.5, and the reasons of a rejection."""
-    suggested, expected = (F.coalesce(c, F.lit("")) for c in ("suggestions", "expected"))
-    sug, exp = (F.length(F.regexp_replace(c, r"^\s+|\s+$", "")) for c in (suggested, expected))
-    rating, mentions = F.col("rating"), F.col("n_mentions")
+#: What a text is stripped of: what \s matches, or SQL's trim (the spaces of Unicode, no tabs or line ends).
+BLANKS, SPACES = " \t\n\x0b\f\r", "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+
+
+def quality_gate(fb: DataFrame, blanks: str = BLANKS, null_is_empty: bool = True) -> DataFrame:
+    """score 0 .. 1 from six rules, accepted above 0.5, and the reasons of a rejection.
+
+    Without null_is_empty a null text is unknown: it earns and loses nothing and is no reason.
+    """
+    suggested, expected = (F.coalesce(c, F.lit("")) if null_is_empty else F.col(c) for c in ("suggestions", "expected"))
+    sug, exp = (F.length(F.btrim(c, F.lit(blanks))) for c in (suggested, expected))
+    rating, mentions, known = F.col("rating"), F.col("n_mentions"), F.lit(True)
     text = F.length(suggested) + F.length(expected)
     rated = rating.between(1, 5)
     rules = [
-        (F.when(F.col("n_tools") > 0, 15), "no tools were called"),
-        (F.when(mentions > 0, F.least(F.lit(20), 5 * mentions)), "no specific symbol or file references"),
-        (F.when(sug > 30, 20).when(sug > 10, 10), "no actionable improvement suggestions"),
-        (F.when(exp > 20, 15), "no expected-results description"),
-        (F.when(rating.isNull(), 5).when(rated, 10 + F.when((rating <= 2) & (mentions > 0) & (F.length(suggested) > 0), 10).otherwise(0)), "rating out of range"),
-        (F.when(text > 200, 10).when(text >= 50, 0), "feedback too short"),
+        (F.when(F.col("n_tools") > 0, 15), known, "no tools were called"),
+        (F.when(mentions > 0, F.least(F.lit(20), 5 * mentions)), known, "no specific symbol or file references"),
+        (F.when(sug > 30, 20).when(sug > 10, 10), sug.isNotNull(), "no actionable improvement suggestions"),
+        (F.when(exp > 20, 15), exp.isNotNull(), "no expected-results description"),
+        (F.when(rating.isNull(), 5).when(rated, 10 + F.when((rating <= 2) & (mentions > 0) & (F.length(suggested) > 0), 10).otherwise(0)), known, "rating out of range"),
+        (F.when(text > 200, 10).when(text >= 50, 0), text.isNotNull(), "feedback too short"),
     ]
-    points = sum((F.coalesce(p, F.lit(-5 if why == "feedback too short" else 0)) for p, why in rules), F.lit(0))
-    reasons = F.array_join(F.array_compact(F.array(*(F.when(p.isNull(), F.lit(why)) for p, why in rules))), "; ")
+    points = sum((F.coalesce(p, F.when(of, F.lit(-5 if why == "feedback too short" else 0)), F.lit(0)) for p, of, why in rules), F.lit(0))
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(p.isNull() & of, F.lit(why)) for p, of, why in rules))), "; ")
     score = F.greatest(F.lit(0), F.least(F.lit(100), points))
     out = fb.withColumn("points", score).withColumn("score", F.round(F.col("points") / 100, 2)).withColumn("status", F.when(F.col("points") > 50, "accepted").otherwise("rejected"))
     return out.withColumn("reasons", F.when(F.col("points") <= 50, reasons))
@@ -96,11 +105,11 @@ def nonzero_boosts(boosts: DataFrame) -> DataFrame:
     return boosts.where("boost <> 0")
 
 
-def evaluate_pending(feedback: DataFrame, most: int = 50) -> DataFrame:
+def evaluate_pending(feedback: DataFrame, most: int = 50, gate: Callable[[DataFrame], DataFrame] = quality_gate) -> DataFrame:
     """All rows, the oldest `most` pending ones gated: status and score changed. Only the keys of those chosen are joined."""
     chosen = feedback.where("status = 'pending'").orderBy("created_at", "feedback_id").limit(most).select("feedback_id")
     mine = feedback.join(F.broadcast(chosen), "feedback_id", "left_semi")
-    gated = quality_gate(mine.drop("status", "score")).select("feedback_id", F.col("status").alias("new_status"), F.col("score").alias("new_score"))
+    gated = gate(mine.drop("status", "score")).select("feedback_id", F.col("status").alias("new_status"), F.col("score").alias("new_score"))
     j = feedback.join(F.broadcast(gated), "feedback_id", "left")
     return j.withColumn("status", F.coalesce("new_status", "status")).withColumn("score", F.coalesce("new_score", "score")).select(*feedback.columns)
 
@@ -126,13 +135,13 @@ def signal_votes(signals: DataFrame, query: str = "_ai_feedback") -> DataFrame:
 REBUILD_AT, RERANK_AT = 10, 5
 
 
-def tick(feedback: DataFrame, build_id: str | None, at, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tick(feedback: DataFrame, build_id: str | None, at, most: int = 50, gate: Callable[[DataFrame], DataFrame] = quality_gate) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A round of the feedback loop: (feedback, votes to append, one row of what happened and is due).
 
     Pending feedback is gated; the signals of the accepted become votes; with an active build that feedback is consumed.
     due is `rebuild` from REBUILD_AT accepted and unconsumed rows before, `rerank` from RERANK_AT, else `nothing`.
     """
-    gated = evaluate_pending(feedback, most)
+    gated = evaluate_pending(feedback, most, gate)
     taken = unconsumed(gated, most)
     votes = signal_votes(symbol_signals(taken))
     after = consume(gated, taken, build_id, at) if build_id is not None else gated

@@ -13,7 +13,7 @@ from ..operators import feedback as fb
 from ..operators import graph, index, logs, retrieve, snapshots
 from ..sources import views as v
 from ..sources.views import BUILDS_SQL, CHUNKS_SQL, EDGES_SQL, FEEDBACK_LOG_SQL, INCIDENTS_SQL, RUST_SQL, SYMBOLS_SQL
-from .queries import BOOSTS, BUDGET, GATE, SCORED, START, _scored, query
+from .queries import BOOSTS, BUDGET, GATE, SCORED, SQL_GATE, START, _scored, query
 
 
 def _store(spark, d) -> snapshots.SnapshotStore:
@@ -171,7 +171,7 @@ def nonzero_boosts(spark, d):
 
 @query("SELECT feedback_id, now_status AS status, now_score AS score FROM ev", GATE + FEEDBACK_LOG_SQL)
 def evaluated_feedback(spark, d):
-    return fb.evaluate_pending(v.feedback_log(spark, d)).select("feedback_id", "status", "score")
+    return fb.evaluate_pending(v.feedback_log(spark, d), gate=SQL_GATE).select("feedback_id", "status", "score")
 
 
 @query("SELECT feedback_id, old_score AS score FROM flog WHERE status = 'accepted' AND NOT consumed ORDER BY old_score DESC, created, feedback_id LIMIT 20", GATE + FEEDBACK_LOG_SQL)
@@ -186,17 +186,17 @@ SIGNAL = "avg((CASE WHEN coalesce(rating, 0) = 0 THEN 3 ELSE rating END - 3) / 2
 @query(f"SELECT symbol_id, CASE WHEN round({SIGNAL}, 6) > 0 THEN 1 ELSE -1 END AS vote FROM taken GROUP BY symbol_id", TAKEN)
 def feedback_round_votes(spark, d):
     """What a round of the loop adds to the votes."""
-    return fb.tick(graph.stage(v.feedback_log(spark, d)), "b2", datetime.datetime(2024, 1, 1))[1].select("symbol_id", "vote")
+    return fb.tick(graph.stage(v.feedback_log(spark, d)), "b2", datetime.datetime(2024, 1, 1), gate=SQL_GATE)[1].select("symbol_id", "vote")
 
 
 @query("SELECT feedback_id, now_status AS status, CASE WHEN feedback_id IN (SELECT feedback_id FROM taken) THEN 'b2' WHEN consumed THEN 'b1' END AS consumed_by FROM ev", TAKEN)
 def feedback_round_state(spark, d):
-    return fb.tick(graph.stage(v.feedback_log(spark, d)), "b2", datetime.datetime(2024, 1, 1))[0].select("feedback_id", "status", "consumed_by")
+    return fb.tick(graph.stage(v.feedback_log(spark, d)), "b2", datetime.datetime(2024, 1, 1), gate=SQL_GATE)[0].select("feedback_id", "status", "consumed_by")
 
 
 @query("SELECT n AS unconsumed, CASE WHEN n >= 10 THEN 'rebuild' WHEN n >= 5 THEN 'rerank' ELSE 'nothing' END AS due FROM (SELECT count(*) AS n FROM ev WHERE now_status = 'accepted' AND NOT consumed)", GATE + FEEDBACK_LOG_SQL)
 def feedback_round_due(spark, d):
-    return fb.tick(graph.stage(v.feedback_log(spark, d)), None, None)[2]
+    return fb.tick(graph.stage(v.feedback_log(spark, d)), None, None, gate=SQL_GATE)[2]
 
 
 LAST_OPEN = "(SELECT max(build_id) FROM builds WHERE status = 'building')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,12 @@ def quality_gate(fb: DataFrame, blanks: str = BLANKS, null_is_empty: bool = True
     return out.withColumn("reasons", F.when(F.col("points") <= 50, reasons))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounds as SQL's engine does: the double times a power of ten, half away from zero. F.round takes the shortest decimals that
+    name the double, so that 1.005, which lies below its name, becomes 1.01 and not 1.0."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def symbol_signals(gated: DataFrame) -> DataFrame:
     """Mean over accepted uses of (rating - 3) / 2 * score, moved by 0.3 for a helpful or unhelpful mark. A rating of 0 or null counts as 3, a score of 0 as 0.5."""
     rating = F.when(F.coalesce("rating", F.lit(0)) == 0, 3).otherwise(F.col("rating"))
@@ -71,7 +77,7 @@ def symbol_signals(gated: DataFrame) -> DataFrame:
 
 
 def feedback_stats(gated: DataFrame) -> DataFrame:
-    return gated.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"), F.round(F.avg("rating"), 2).alias("avg_rating"))
+    return gated.groupBy("status").agg(F.count("*").alias("n"), rounded(F.avg("score"), 4).alias("avg_score"), rounded(F.avg("rating"), 2).alias("avg_rating"))
 
 
 def active_build(builds: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lodestrata import registry
+from lodestrata.operators import feedback
 
 BLANKS = [" ", "\t", "\n", "\x0b", "\r\n", "\x85", *map(chr, (0xA0, 0x180E, 0x2003, 0x200B, 0x2028, 0x3000)), " \n ", chr(0xA0) + " "]
 
@@ -36,3 +37,16 @@ def differ(spark, odd, name):
 @pytest.mark.parametrize("name", ["quality_gate", "accepted_feedback", "evaluated_feedback", "unconsumed_feedback", "feedback_round_votes", "feedback_round_state", "feedback_round_due"])
 def test_null_and_blank_texts(spark, odd, name):
     assert not differ(spark, odd, name)
+
+
+def test_stats_round_as_sql_does(spark, odd):
+    """Null and blank texts, and means that lie half way between two roundings by name only: 402 / 400 = 1.005."""
+    assert not differ(spark, odd, "feedback_stats")
+    rows = [("accepted", 0.5 + i % 2 / 8, 1 + (i < 2)) for i in range(400)] + [("rejected", 0.5, 1 + (i < 29)) for i in range(200)]
+    got = feedback.feedback_stats(spark.createDataFrame(rows, "status string, score double, rating int")).collect()
+    con = odd[1]
+    con.execute("CREATE OR REPLACE TABLE gate (status VARCHAR, score DOUBLE, rating INT)")
+    con.executemany("INSERT INTO gate VALUES (?, ?, ?)", rows)
+    want = con.sql("SELECT status, count(*) AS n, round(avg(score), 4), round(avg(rating), 2) FROM gate GROUP BY status").fetchall()
+    con.execute("DROP TABLE gate")
+    assert sorted(map(tuple, got)) == sorted(want) and ("accepted", 400, 0.5625, 1.0) in want

@@ -73,7 +73,7 @@ def symbol_signals(gated: DataFrame) -> DataFrame:
     rating = F.when(F.coalesce("rating", F.lit(0)) == 0, 3).otherwise(F.col("rating"))
     quality = F.when(F.coalesce("score", F.lit(0.0)) == 0, 0.5).otherwise(F.col("score"))
     move = F.when(F.col("helpful"), 0.3).when(~F.col("helpful"), -0.3).otherwise(0.0)
-    return gated.where("status = 'accepted'").groupBy("symbol_id").agg(F.round(F.avg((rating - 3) / 2.0 * quality + move), 6).alias("signal"), F.count("*").alias("uses"))
+    return gated.where("status = 'accepted'").groupBy("symbol_id").agg(rounded(F.avg((rating - 3) / 2.0 * quality + move), 6).alias("signal"), F.count("*").alias("uses"))
 
 
 def feedback_stats(gated: DataFrame) -> DataFrame:

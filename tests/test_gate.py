@@ -50,3 +50,11 @@ def test_stats_round_as_sql_does(spark, odd):
     want = con.sql("SELECT status, count(*) AS n, round(avg(score), 4), round(avg(rating), 2) FROM gate GROUP BY status").fetchall()
     con.execute("DROP TABLE gate")
     assert sorted(map(tuple, got)) == sorted(want) and ("accepted", 400, 0.5625, 1.0) in want
+
+
+def test_signals_round_as_sql_does(spark, odd):
+    """Null and blank texts, and a mean half way between two roundings by name only: 2.05 / 32 = 0.0640625."""
+    assert not differ(spark, odd, "symbol_signals")
+    rows = [("k", "accepted", 1.0, 5, None), ("k", "accepted", 0.75, 5, True), *[("k", "accepted", 0.75, 3, None)] * 30]
+    got = feedback.symbol_signals(spark.createDataFrame(rows, "symbol_id string, status string, score double, rating int, helpful boolean").coalesce(1)).collect()
+    assert [tuple(r) for r in got] == duckdb.sql("SELECT 'k', round(2.05::DOUBLE / 32, 6), 32").fetchall() == [("k", 0.064062, 32)]

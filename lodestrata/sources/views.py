@@ -97,11 +97,14 @@ incident_events AS (SELECT user_id AS session_id, event_id, CASE event_type WHEN
 
 def ai_feedback(spark: SparkSession, d: str) -> DataFrame:
     """Feedback rows from labelled documents: tools, mentions, rating, suggestion and expectation texts."""
-    x = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id")
+    labels, size = read(spark, d, "labels"), lambda quality: (F.lit(25) * (F.col(quality) + 1)).cast("int")
+    # Texts are cut before the join, to what the best quality asks for, so that whole texts aren't shuffled.
+    docs = read(spark, d, "documents").join(F.broadcast(labels.agg(F.max("quality").alias("best"))))
+    x = labels.join(docs.select("doc_id", F.substring("text", 1, size("best")).alias("head"), F.substring("text", 10, (F.lit(30) * (1 + F.col("doc_id") % 8)).cast("int")).alias("expected")), "doc_id")
     return x.select(
         F.col("doc_id").alias("feedback_id"), (F.col("doc_id") % 4).cast("int").alias("n_tools"), (F.col("doc_id") % 6).cast("int").alias("n_mentions"),
         F.when(F.col("doc_id") % 9 == 0, None).otherwise((F.col("doc_id") % 7)).cast("int").alias("rating"),
-        F.substring("text", 1, (F.lit(25) * (F.col("quality") + 1)).cast("int")).alias("suggestions"), F.substring("text", 10, (F.lit(30) * (1 + F.col("doc_id") % 8)).cast("int")).alias("expected"),
+        F.substring("head", 1, size("quality")).alias("suggestions"), "expected",
         F.concat(F.lit("k:"), F.col("doc_id") % 50).alias("symbol_id"), F.when(F.col("toxic") == 1, F.lit(False)).when(F.col("quality") == 1, F.lit(True)).alias("helpful"),
     )
 

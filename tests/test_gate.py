@@ -5,6 +5,7 @@ import pytest
 
 from lodestrata import registry
 from lodestrata.operators import feedback
+from lodestrata.sources import views
 
 BLANKS = [" ", "\t", "\n", "\x0b", "\r\n", "\x85", *map(chr, (0xA0, 0x180E, 0x2003, 0x200B, 0x2028, 0x3000)), " \n ", chr(0xA0) + " "]
 
@@ -58,3 +59,9 @@ def test_signals_round_as_sql_does(spark, odd):
     rows = [("k", "accepted", 1.0, 5, None), ("k", "accepted", 0.75, 5, True), *[("k", "accepted", 0.75, 3, None)] * 30]
     got = feedback.symbol_signals(spark.createDataFrame(rows, "symbol_id string, status string, score double, rating int, helpful boolean").coalesce(1)).collect()
     assert [tuple(r) for r in got] == duckdb.sql("SELECT 'k', round(2.05::DOUBLE / 32, 6), 32").fetchall() == [("k", 0.064062, 32)]
+
+
+def test_whole_texts_are_not_joined(spark, odd):
+    plan = views.ai_feedback(spark, odd[0])._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner, (doc_id", 1)
+    assert "substring(text" in below and "substring(text" not in above

@@ -6,6 +6,8 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether Spark deletes the shuffle files of a query once it has run.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if driver and
     executors are one process, as in tests; an error on a cluster, whose machines wouldn't see each other's files."""
@@ -30,14 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A setting of the session within a block; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def staged(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and rereads it: lineage ends here and a lost executor costs no recomputation.
 
-    The folder stays until dropped(); what a returned plan still reads is left to the owner of the shared folder.
+    The folder stays until dropped(); what a returned plan still reads is left to the owner of the shared folder. The
+    write's shuffle files, which nothing else reads, go at its end, not when the driver happens to collect its garbage.
+    batch_rows: rows of an Arrow batch in this write, if not as many as the session has.
     """
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with setting(spark, SHUFFLE_CLEANUP, "true"), setting(spark, rows, batch_rows or spark.conf.get(rows)):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
@@ -109,6 +131,11 @@ def slot_of(h: Column, slots: int) -> Column:
     return F.pmod(h, F.lit(slots))
 
 
+def has_bit(bits: str, at: str) -> Column:
+    """Whether the bitmap in column bits has the bit whose number is in column at; false for a null bitmap."""
+    return F.coalesce(F.expr(f"(conv(hex(substring({bits}, {at} div 8 + 1, 1)), 16, 10) >> ({at} % 8)) & 1 = 1"), F.lit(False))
+
+
 def only_marked(rows: DataFrame, marked: DataFrame, slot: str = "slot") -> DataFrame:
     """rows with a boolean column maybe: whether `marked` has the row's slot. The filter is broadcast as bitmaps."""
     bits = marked.groupBy(F.expr(f"{slot} div {BITMAP}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg({slot} % {BITMAP})").alias("bits"))
@@ -132,7 +159,7 @@ def with_decision(docs: DataFrame, decided: DataFrame, total: int, key: str = "d
     maps = one.groupBy(F.expr(f"s div {BITMAP}").alias(bucket)).agg(F.struct(construct("low <> high").alias("mixed"), construct("low = high and low = 1").alias("one"), construct("low = high and low = 2").alias("two")).alias(bits))
     rows = docs.withColumn(slot, hashed(docs[key])).withColumn(bucket, F.expr(f"{slot} div {BITMAP}")).withColumn(at, F.expr(f"cast({slot} % {BITMAP} as int)"))
     rows = rows.join(F.broadcast(maps), bucket, "left")
-    bit = lambda m: F.coalesce(F.expr(f"(conv(hex(substring({bits}.{m}, {at} div 8 + 1, 1)), 16, 10) >> ({at} % 8)) & 1 = 1"), F.lit(False))
+    bit = lambda m: has_bit(f"{bits}.{m}", at)
     mixed = free_name("mixed", docs.columns)
     rows = rows.select(*(F.col(c) for c in docs.columns), bit("mixed").alias(mixed), F.when(bit("one"), 1).when(bit("two"), 2).otherwise(0).alias(name))
     sure = rows.where(~F.col(mixed)).select(*docs.columns, name)

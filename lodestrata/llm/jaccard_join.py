@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, dropped, join_groups, only_marked, slot_of, slots_for, small_batches, staged, table
+from .common import BITMAP, WORD, connected, dropped, has_bit, join_groups, only_marked, slot_of, slots_for, small_batches, staged, table
 
 #: Shingles that a block of a cluster holds at most, about: a larger cluster is searched in several blocks.
 BLOCK_SHINGLES = 1 << 19
@@ -27,6 +27,13 @@ MU, HEAP_ENTRIES = 0.0085, 1 << 11
 FEW, PROBE = 16, 8
 #: A document's posted prefix is longer than the least one by this share of its size; pairs then share as many more shingles.
 EXTRA = 0.06
+#: Lowest bits of a shingle's hash that aren't shuffled where shingles are only counted and documents clustered. Shingles that
+#: differ in no other bit count as one there, which leaves in more and loses nothing; the search has all bits.
+LOW_BITS = 16
+#: A shingle's level is the number of these that its documents reach; a filter of at most MAX_SLOTS slots has a bitmap for each.
+LEVELS, MAX_SLOTS = (2, 3, 5, 17, 257), 1 << 26
+#: Rows of an Arrow batch where rows are single shingles.
+SHINGLE_ROWS = 1 << 16
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _words = re.compile(WORD).findall
 
@@ -79,6 +86,53 @@ def least_shared(n: int, percent: int) -> int:
     return int(EXTRA * least_overlap(n, percent)) + 1
 
 
+def with_level(rows: DataFrame, shared: DataFrame, slots: int) -> DataFrame:
+    """rows with a column level of their gram, from shared(gram, df): never lower than df's, 0 only if shared lacks the gram.
+
+    All grams of a filter slot have the level of the most frequent one. The filter is broadcast, so rows stay in their order.
+    """
+    marked = shared.select(slot_of(F.col("gram"), slots).alias("slot"), "df").groupBy(F.expr(f"slot div {BITMAP}").alias("bucket"))
+    bits = marked.agg(*(F.expr(f"bitmap_construct_agg(slot % {BITMAP}) filter (where df >= {least})").alias(f"level{k}") for k, least in enumerate(LEVELS)))
+    placed = rows.withColumn("slot", slot_of(F.col("gram"), slots)).withColumn("bucket", F.expr(f"slot div {BITMAP}")).withColumn("at", F.expr(f"cast(slot % {BITMAP} as int)"))
+    level = F.when(~has_bit("level0", "at"), 0)
+    for k in range(1, len(LEVELS)):
+        level = level.when(~has_bit(f"level{k}", "at"), k)
+    return placed.join(F.broadcast(bits), "bucket", "left").select(*rows.columns, level.otherwise(len(LEVELS)).alias("level"))
+
+
+def rarest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(id, gram) of the grams by which a document is clustered, from (id, n, gram, level): n rows in a row for each document.
+
+    Of the grams of a level above 0, in order of level and gram, as many as two linked sets can't avoid to share one of.
+    """
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(k).to_numpy() for k in range(4)])
+        rows += batch.num_rows
+        if rows < held[0][1][0]:
+            continue
+        i, n, gram, level = (np.concatenate(x) for x in zip(*held))
+        starts, end = [], 0
+        while end < rows and end + n[end] <= rows:
+            starts.append(end)
+            end += int(n[end])
+        size = n[starts]
+        owner = np.repeat(np.arange(len(starts)), size)
+        if (i[:end] != np.repeat(i[starts], size)).any():
+            raise RuntimeError("a document's shingles aren't in a row")
+        shared = np.nonzero(level[:end] > 0)[0]
+        shared = shared[np.lexsort((gram[shared], level[shared], owner[shared]))]
+        k = np.bincount(owner[shared], minlength=len(starts))
+        most = k + percent * size // -100 + 1  # k - least_overlap(n) + 1
+        taken = shared[np.arange(len(shared)) - np.repeat(np.cumsum(k) - k, k) < np.repeat(most, k)]
+        yield pa.record_batch([pa.array(i[taken]), pa.array(gram[taken])], ["id", "gram"])
+        held, rows = ([[x[end:] for x in (i, n, gram, level)]], rows - end) if end < rows else ([], 0)
+    if rows:
+        raise RuntimeError("a document's last shingles are missing")
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in sets)])))
@@ -286,11 +340,12 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     shorter text is one shingle). component_id is the smallest doc_id that links reach, itself included.
 
     1. Equal sets become one representative; the members only follow it.
-    2. Documents post the prefix of their hashes in the order of a fixed permutation. Linked sets share at least
-       EXTRA of their size in the prefixes, so a document with fewer posted shingles that another set posts is left out.
-    3. The representatives left post all their shingles. One with fewer than percent of them shared links with nothing.
-       The others are clustered by their rarest shingles, as many as two linked sets can't avoid to share one of; only
-       connected clusters can hold links.
+    2. Representatives post the prefix of their hashes in the order of a fixed permutation. Linked sets share at least
+       EXTRA of their size in the prefixes, so a document with fewer posted shingles that another posts is left out.
+    3. The shingles of those left are counted, once over the network; a filter of bounded size tells a shingle's level
+       in place, 0 if no other document holds it. A document with fewer than percent above 0 links with nothing. The
+       others are clustered by their shingles of the lowest levels, as many as two linked sets can't avoid to share one
+       of; only connected clusters can hold links. Any order that depends on the shingle alone gives the same links.
     4. A cluster is searched in one task, or in blocks of BLOCK_SHINGLES with common pivots, whose links give labels;
        then the documents outside a cluster's largest label search every other block. Every pair of different sets is
        thereby decided or already connected. DivideSkip finds the members that reach the required overlap; no link is
@@ -312,7 +367,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
                     n.append(len(s))
                     a.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                     b.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                    posted.append(s[: prefix_length(len(s), percent)])
+                    posted.append(s[: prefix_length(len(s), percent)] >> np.uint64(LOW_BITS))
                 kind = pa.int64()
                 yield pa.record_batch([batch.column(0)[at : at + 256], pa.array(n, kind), pa.array(a, kind), pa.array(b, kind), _lists(posted)], ["doc_id", "n", "h1", "h2", "posted"])
 
@@ -322,16 +377,18 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     ids = staged(cut.select("doc_id", *same))
     total = ids.count()
     groups = staged(ids.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    # A shingle counts as shared if different sets post it, so copies needn't be left out before.
-    kept = cut.where("n > 0").select(F.col("doc_id").alias("id"), "n", "h1", F.explode("posted").alias("gram"))
-    shared = staged(kept.groupBy("gram").agg(F.count("*").alias("df"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("gram", "df"))
+    # Copies post nothing, but for a few that share a filter slot with a representative: more shingles count as shared then.
+    rep_slot = lambda c: slot_of(F.xxhash64(c), slots_for(total)).alias("slot")
+    reps = only_marked(cut.where("n > 0").select(F.col("doc_id").alias("id"), "n", "posted", rep_slot("doc_id")), groups.select(rep_slot("rep"))).where("maybe and id is not null")
+    kept = reps.select("id", "n", F.explode("posted").alias("gram"))
+    shared = staged(kept.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
     slots = slots_for(shared.count())
     slot = slot_of(F.col("gram"), slots).alias("slot")
-    posts = staged(only_marked(kept.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "h1", "gram"))
+    posts = staged(only_marked(kept.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
     dropped(cut)
     need = F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * percent / 100)) + 1
-    enough = join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null").groupBy("id", "n", "h1").agg(F.count("*").alias("k")).where(F.col("k") >= need)
-    left = staged(enough.join(groups.select(F.col("rep").alias("id"), "n", "h1"), ["id", "n", "h1"], "left_semi").select("id").distinct())
+    enough = join_groups(posts, shared, ["gram"], "df", posts.count()).where("df is not null").groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need)
+    left = staged(enough.join(groups.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi").select("id").distinct())
     dropped(shared, posts)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,16 +403,11 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     some = only_marked(rows.withColumnRenamed("doc_id", "id").select("*", id_slot), left.select(id_slot)).where("maybe")
     full = staged(some.select("id", "text").mapInArrow(sets, "id long, grams array<long>, n long").where("n > 0 and id is not null"))
     dropped(left)
-    every = full.select("id", "n", F.explode("grams").alias("gram"))
+    every = full.select("id", "n", F.explode("grams").alias("gram")).withColumn("gram", F.shiftrightunsigned("gram", LOW_BITS))
     shared = staged(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
-    slot = slot_of(F.col("gram"), slots_for(shared.count())).alias("slot")
-    some = staged(only_marked(every.select("*", slot), shared.select(slot)).where("maybe").select("id", "n", "gram"))
-    posts = join_groups(some, shared, ["gram"], "df", some.count()).where("df is not null")
-    least = F.ceil(F.col("n") * percent / 100)
-    rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "gram"))
-    k = F.count("*").over(Window.partitionBy("id", "n"))
-    posts = staged(posts.withColumn("k", k).withColumn("rank", rank).where((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("id", "gram"))
-    dropped(shared, some)
+    found = with_level(every, shared, min(MAX_SLOTS, slots_for(shared.count(), 8)))
+    posts = staged(found.mapInArrow(lambda batches: rarest(batches, percent), "id long, gram long"), SHINGLE_ROWS)
+    dropped(shared)
     heads = staged(posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("head")).where("df > 1"))
     pairs = staged(join_groups(posts, heads, ["gram"], "df", posts.count()).where("df is not null and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
     dropped(posts, heads)
@@ -373,7 +425,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, percent: int = 80, doc_i
     everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")
     pivots = large.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < F.lit(float(PIVOTS)) / F.col("size") * (1 << 30)).select("*", everywhere).where("to <> part")
     blocks = base.unionByName(pivots.select("id", "cluster", F.col("to").alias("part"), F.col("id").alias("label"), F.lit(False).alias("extra")))
-    with_sets = lambda b: b.join(full.select("id", "grams"), "id")
+    id_slot = slot_of(F.xxhash64("id"), slots_for(placed.count())).alias("slot")
+    clustered = only_marked(full.select("id", "grams", id_slot), placed.select(id_slot)).where("maybe").select("id", "grams")
+    with_sets = lambda b: b.join(clustered, "id")
     edges = staged(_search(with_sets(blocks), percent))
     if not large.isEmpty():
         labels = connected(edges)
